@@ -1,4 +1,483 @@
 """The named queries over the driver's tables, and their DuckDB SQL."""
 
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import ChunkSettings, ContextSettings, Metric, SearchSettings, Strategy
+from ..functions import codec, text, tokens
+from ..functions import vector as V
+from ..operators import chunking, context, conversations, index, lookup, search, stats
+from . import rag
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+DIGITS = 6
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def chunk_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as a chunk table: id, four chunks a frame, tags and importance."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), "text", "source", F.expr("doc_id div 4").cast("int").alias("frame"), F.array("lang", "source").alias("tags"), ((F.col("doc_id") % 10) / 10.0).alias("importance"), F.octet_length("text").alias("length")
+    )
+
+
+_CHUNKS = "(SELECT doc_id AS id, text, source, doc_id // 4 AS frame, [lang, source] AS tags, (doc_id % 10) / 10.0 AS importance FROM documents)"
+
+
+def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return list(table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+
+
+_Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+_V = "(SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE list_sum(list_transform(embedding, lambda x: abs(x))) > 0)"
+_COS = "1 - list_cosine_similarity(v, q)"
+
+
+def _topk_sql(expr: str) -> str:
+    return f"SELECT vec_id AS id, round({expr}, 6) + 0.0 AS distance FROM {_V} e, {_Q} ORDER BY distance, id LIMIT 10"
+
+
+@query(_topk_sql(_COS))
+def vec_topk_cosine(spark, sf_dir):
+    return search.top_k(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10, Metric.COSINE, digits=DIGITS)
+
+
+@query(_topk_sql("list_distance(v, q)"))
+def vec_topk_l2(spark, sf_dir):
+    return search.top_k(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10, Metric.L2, digits=DIGITS)
+
+
+@query(_topk_sql("list_sum(list_transform(list_zip(v, q), lambda p: abs(p[1] - p[2])))"))
+def vec_topk_l1(spark, sf_dir):
+    return search.top_k(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10, Metric.L1, digits=DIGITS)
+
+
+@query(_topk_sql("-list_dot_product(v, q)"))
+def vec_topk_dot(spark, sf_dir):
+    return search.top_k(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10, Metric.DOT, digits=DIGITS)
+
+
+@query(f"SELECT query_id, id, distance, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(1 - list_cosine_similarity(e.v, q.v), 6) + 0.0 AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(e.v, q.v), 6) + 0.0, e.vec_id) AS rank FROM {_V} e, {_V} q WHERE q.vec_id % 50 = 0) WHERE rank <= 5")
+def vec_knn_batch(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.knn(rows, queries, 5, digits=DIGITS)
+
+
+@query(f"SELECT vec_id AS id, round(list_cosine_similarity(v, q), 6) + 0.0 AS score FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id LIMIT 250), {_Q} ORDER BY score DESC, id LIMIT 5")
+def vec_search_compat50k(spark, sf_dir):
+    return search.similar(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), SearchSettings(min_score=-1.0, candidate_factor=50), 5, digits=DIGITS)
+
+
+@query(f"SELECT id, score FROM (SELECT vec_id AS id, round(list_cosine_similarity(v, q), 6) + 0.0 AS score FROM {_V} e, {_Q}) WHERE score >= 0.2 ORDER BY score DESC, id LIMIT 100")
+def vec_threshold(spark, sf_dir):
+    return search.similar(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), SearchSettings(min_score=0.2), 1000, digits=DIGITS)
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm, CASE WHEN sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) = 0 THEN 0.0 ELSE 1.0 END AS unit FROM embeddings")
+def vec_normalize_norms(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", F.round(V.norm(F.col("embedding")), DIGITS).alias("norm"), F.round(V.norm(V.normalise(F.col("embedding"))), DIGITS).alias("unit"))
+
+
+@query("SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0")
+def vec_zero_filter(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").where(V.nonzero(F.col("embedding"))).select("vec_id")
+
+
+@query(f"SELECT label, count(*) AS n, round(avg({_COS}), 4) AS avg_distance FROM (SELECT label, embedding::DOUBLE[] AS v FROM embeddings) e, {_Q} GROUP BY label")
+def vec_label_stats(spark, sf_dir):
+    d = V.distance(F.col("embedding"), V.literal(first_vector(spark, sf_dir)))
+    return table(spark, sf_dir, "embeddings").select("label", d.alias("d")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("d"), 4).alias("avg_distance"))
+
+
+@query("SELECT count(*) AS vectors, CAST(max(len(embedding)) AS BIGINT) AS dimension, count(*) FILTER (list_sum(list_transform(embedding, lambda x: abs(x))) = 0) AS zero_vectors, max(vec_id) AS largest_id FROM embeddings")
+def vec_index_stats(spark, sf_dir):
+    return search.index_stats(table(spark, sf_dir, "embeddings"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, CAST(sum(label) AS BIGINT) AS labels FROM (SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 3 = 0)")
+def vec_upsert(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    new = rows.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100)
+    return search.upsert(rows, new).agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"), F.sum(F.col("label").cast("long")).alias("labels"))
+
+
+_SPACE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_CLEAN = f"trim(regexp_replace(text, '{_SPACE}', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, {_CLEAN} AS text FROM documents")
+def text_clean(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, CAST(length(text) AS BIGINT) AS n_chars FROM documents")
+def text_byte_lengths(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.byte_length(F.col("text")).alias("n_bytes"), F.length("text").cast("long").alias("n_chars"))
+
+
+def _markdown_sql(column: str) -> str:
+    out = column
+    for pattern, put in text.MARKDOWN:
+        out = f"regexp_replace({out}, '{pattern}', '{put.replace('$', chr(92))}', 'g')"
+    return f"trim(regexp_replace({out}, '{_SPACE}', ' ', 'g'))"
+
+
+_MD = "'# Title' || chr(10) || '**bold** and *soft* `code` [label](http://x) ![alt](y) __b__ _i_ <b>t</b> ' || text"
+
+
+@query(f"SELECT doc_id, {_markdown_sql('md')} AS plain FROM (SELECT doc_id, {_MD} AS md FROM documents)")
+def md_strip(spark, sf_dir):
+    signs = "# Title\n**bold** and *soft* `code` [label](http://x) ![alt](y) __b__ _i_ <b>t</b> "
+    return table(spark, sf_dir, "documents").select("doc_id", text.strip_markdown(F.concat(F.lit(signs), F.col("text"))).alias("plain"))
+
+
+@query(f"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{_SPACE}', ' ', 'g')) AS plain FROM pages")
+def html_strip(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.strip_tags(F.col("html")).alias("plain"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS preview FROM documents")
+def text_preview(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text"), 200).alias("preview"))
+
+
+@query(r"SELECT doc_id, strlen(text) BETWEEN 1 AND 99999 AND NOT regexp_matches(text, '[^\x00-\x7F\p{L}\p{Nl}\p{M}\p{N}\x{0085}\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]') AS ok FROM documents")
+def text_decodable(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.decodable(F.col("text")).alias("ok"))
+
+
+@query("SELECT doc_id, lower(nullif(regexp_extract(p, '[^/.]\\.([^./]+)$', 1), '')) AS ext, coalesce(lower(nullif(regexp_extract(p, '[^/.]\\.([^./]+)$', 1), '')) IN ('pdf', 'txt', 'md', 'markdown'), false) AS is_doc, coalesce(lower(nullif(regexp_extract(p, '[^/.]\\.([^./]+)$', 1), '')) IN ('mp4', 'avi', 'mov', 'mkv', 'webm'), false) AS is_vid FROM (SELECT doc_id, source || '/f' || doc_id || ['.PDF', '.txt', '.Md', '', '.mp4', '.tar.gz', '.webm'][1 + doc_id % 7] AS p FROM documents)")
+def path_kinds(spark, sf_dir):
+    suffix = F.element_at(F.array(*map(F.lit, [".PDF", ".txt", ".Md", "", ".mp4", ".tar.gz", ".webm"])), (1 + F.col("doc_id") % 7).cast("int"))
+    path = F.concat(F.col("source"), F.lit("/f"), F.col("doc_id"), suffix)
+    return table(spark, sf_dir, "documents").select("doc_id", text.file_extension(path).alias("ext"), text.is_document(path).alias("is_doc"), text.is_video(path).alias("is_vid"))
+
+
+_SENT = ChunkSettings(size=500, overlap=50, min_size=100, strategy=Strategy.SENTENCE)
+_TOK = ChunkSettings(size=500, overlap=50, min_size=100, strategy=Strategy.TOKEN)
+_CHAR = ChunkSettings(size=500, overlap=50, min_size=100, strategy=Strategy.CHARACTER)
+_PARA = ChunkSettings(size=500, overlap=50, min_size=100, strategy=Strategy.PARAGRAPH)
+
+_CHARACTER_SQL = f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INTEGER) AS chunk_no, substring(t, o + 1, 500) AS text, CAST(o AS INTEGER) AS "offset", CAST(strlen(substring(t, o + 1, 500)) AS INTEGER) AS length
+FROM (SELECT doc_id, t, unnest(CASE WHEN length(t) <= 500 THEN [0] ELSE range(0, length(t), 450) END) AS o FROM (SELECT doc_id, {_CLEAN} AS t FROM documents))
+WHERE length(t) <= 500 OR length(substring(t, o + 1, 500)) >= 100 OR o + 500 >= length(t)"""
+
+_SENTENCE_CTE = f"""WITH RECURSIVE pieces AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({_CLEAN}, '[.!?]+{_SPACE}'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents),
+fold AS (
+  SELECT doc_id, p, 1 AS i, '' AS cur, 0 AS co, 0 AS so, NULL::VARCHAR AS out, NULL::INTEGER AS oo FROM pieces
+  UNION ALL
+  SELECT doc_id, p, i + 1,
+    CASE WHEN i > len(p) THEN '' WHEN cur <> '' AND strlen(cur) + 1 + strlen(p[i]) > 500 THEN p[i] WHEN cur = '' THEN p[i] ELSE cur || ' ' || p[i] END,
+    CASE WHEN i <= len(p) AND cur <> '' AND strlen(cur) + 1 + strlen(p[i]) > 500 THEN so ELSE co END,
+    CASE WHEN i > len(p) THEN so ELSE so + strlen(p[i]) + 1 END,
+    CASE WHEN (i > len(p) OR (cur <> '' AND strlen(cur) + 1 + strlen(p[i]) > 500)) AND cur <> '' AND strlen(cur) >= 100 THEN cur END,
+    CASE WHEN (i > len(p) OR (cur <> '' AND strlen(cur) + 1 + strlen(p[i]) > 500)) AND cur <> '' AND strlen(cur) >= 100 THEN co END
+  FROM fold WHERE i <= len(p) + 1),
+chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_no, out AS text, CAST(oo AS INTEGER) AS "offset", CAST(strlen(out) AS INTEGER) AS length FROM fold WHERE out IS NOT NULL)
+"""
+
+_TOKEN_SQL = f"""WITH RECURSIVE pieces AS (SELECT doc_id, list_filter(string_split({_CLEAN}, ' '), lambda x: x <> '') AS p FROM documents),
+fold AS (
+  SELECT doc_id, p, 1 AS i, '' AS cur, 0 AS co, 0 AS so, NULL::VARCHAR AS out, NULL::INTEGER AS oo, NULL::INTEGER AS ol FROM pieces
+  UNION ALL
+  SELECT doc_id, p, i + 1,
+    CASE WHEN i > len(p) THEN '' WHEN cur <> '' AND strlen(cur) + 1 + strlen(p[i]) > 500 THEN array_to_string(string_split(cur, ' ')[-5:], ' ') || ' ' || p[i] WHEN cur = '' THEN p[i] ELSE cur || ' ' || p[i] END,
+    CASE WHEN i <= len(p) AND cur <> '' AND strlen(cur) + 1 + strlen(p[i]) > 500 THEN greatest(0, so - strlen(array_to_string(string_split(cur, ' ')[-5:], ' '))) ELSE co END,
+    CASE WHEN i > len(p) THEN so ELSE so + strlen(p[i]) + 1 END,
+    CASE WHEN (i > len(p) OR (cur <> '' AND strlen(cur) + 1 + strlen(p[i]) > 500)) AND cur <> '' AND strlen(cur) >= 100 THEN cur END, co,
+    CASE WHEN i > len(p) THEN so - co ELSE strlen(cur) END
+  FROM fold WHERE i <= len(p) + 1)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_no, out AS text, CAST(oo AS INTEGER) AS "offset", CAST(ol AS INTEGER) AS length FROM fold WHERE out IS NOT NULL"""
+
+_PARAGRAPH_SQL = f"""SELECT doc_id, CAST(0 AS INTEGER) AS chunk_no, t AS text, CAST(0 AS INTEGER) AS "offset", CAST(strlen(t) AS INTEGER) AS length FROM (SELECT doc_id, {_CLEAN} AS t FROM documents) WHERE strlen(t) >= 100"""
+
+
+@query(_CHARACTER_SQL)
+def chunk_character(spark, sf_dir):
+    return chunking.chunk_documents(table(spark, sf_dir, "documents"), _CHAR)
+
+
+@query(_SENTENCE_CTE + "SELECT * FROM chunks")
+def chunk_sentence(spark, sf_dir):
+    return chunking.chunk_documents(table(spark, sf_dir, "documents"), _SENT)
+
+
+@query(_TOKEN_SQL)
+def chunk_token(spark, sf_dir):
+    return chunking.chunk_documents(table(spark, sf_dir, "documents"), _TOK)
+
+
+@query(_PARAGRAPH_SQL)
+def chunk_paragraph(spark, sf_dir):
+    return chunking.chunk_documents(table(spark, sf_dir, "documents"), _PARA)
+
+
+@query(_SENTENCE_CTE + "SELECT CAST(row_number() OVER (ORDER BY doc_id, chunk_no) - 1 AS BIGINT) AS id, doc_id, chunk_no FROM chunks")
+def chunk_ids_global(spark, sf_dir):
+    return chunking.number_chunks(chunk_sentence(spark, sf_dir)).select("id", "doc_id", "chunk_no")
+
+
+@query(_SENTENCE_CTE + "SELECT doc_id, count(*) AS n, CAST(sum(length) AS BIGINT) AS n_bytes, CAST(max(length) AS BIGINT) AS longest FROM chunks GROUP BY doc_id")
+def chunk_stats(spark, sf_dir):
+    return chunk_sentence(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("length").cast("long")).alias("n_bytes"), F.max("length").cast("long").alias("longest"))
+
+
+@query(_SENTENCE_CTE + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM chunks)")
+def chunk_dropped(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id").join(chunk_sentence(spark, sf_dir).select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT doc_id AS id, text FROM documents WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%the%in_%' ORDER BY doc_id LIMIT 20")
+def like_search(spark, sf_dir):
+    return lookup.like_search(chunk_view(spark, sf_dir), "The%in_", 20).select("id", "text")
+
+
+@query("SELECT doc_id AS id, text FROM documents WHERE doc_id = 42")
+def chunk_by_id(spark, sf_dir):
+    return lookup.chunk_by_id(chunk_view(spark, sf_dir), 42).select("id", "text")
+
+
+@query(f"SELECT id, frame, text FROM {_CHUNKS} WHERE frame = 7 ORDER BY id")
+def chunks_by_frame(spark, sf_dir):
+    return lookup.chunks_by_frame(chunk_view(spark, sf_dir), 7).select("id", F.col("frame").cast("long").alias("frame"), "text")
+
+
+@query(f"SELECT f AS frame, count(id) AS n, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id), '') AS ids FROM (VALUES (3), (9), (1000000), (5)) AS v(f) LEFT JOIN {_CHUNKS} c ON c.frame = f GROUP BY f")
+def frames_multi(spark, sf_dir):
+    found = lookup.chunks_by_frames(chunk_view(spark, sf_dir), [3, 9, 1_000_000, 5])
+    return found.select("frame", F.size("ids").cast("long").alias("n"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query(f"SELECT DISTINCT frame FROM {_CHUNKS}")
+def frames_distinct(spark, sf_dir):
+    return lookup.frames_of(chunk_view(spark, sf_dir)).select(F.col("frame").cast("long").alias("frame"))
+
+
+@query(f"SELECT target, id, frame FROM {_CHUNKS} c JOIN (SELECT id AS target FROM {_CHUNKS} WHERE id IN (0, 5, 50)) t ON c.id BETWEEN greatest(0, target - 2) AND target + 2")
+def ctx_id_window(spark, sf_dir):
+    targets = spark.createDataFrame([(0,), (5,), (50,), (10**9,)], "target bigint")
+    return context.id_window(chunk_view(spark, sf_dir), targets, 5).select("target", "id", F.col("frame").cast("long").alias("frame"))
+
+
+@query(f"SELECT t.id AS target, c.id, c.frame FROM {_CHUNKS} t JOIN {_CHUNKS} c ON c.frame BETWEEN greatest(0, t.frame - 1) AND t.frame + 1 WHERE t.id IN (0, 6, 50)")
+def ctx_frame_window(spark, sf_dir):
+    targets = spark.createDataFrame([(0,), (6,), (50,)], "target bigint")
+    return context.frame_window(chunk_view(spark, sf_dir), targets, 1).select("target", "id", F.col("frame").cast("long").alias("frame"))
+
+
+@query(f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY id) AS pos, row_number() OVER (PARTITION BY frame ORDER BY id DESC) AS rev FROM {_CHUNKS}),
+picked AS (SELECT t.id AS target, c.id, c.frame, c.frame - t.frame AS side, c.importance FROM c t JOIN c ON c.frame BETWEEN t.frame - 1 AND t.frame + 1
+  WHERE t.id % 100 = 1 AND ((c.frame = t.frame AND c.pos BETWEEN t.pos - 2 AND t.pos + 2) OR (c.frame = t.frame - 1 AND c.rev <= 2) OR (c.frame = t.frame + 1 AND c.pos <= 2)))
+SELECT target, id, frame FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY side, id) AS n FROM picked WHERE importance >= 0.1) WHERE n <= 6""")
+def ctx_enhanced(spark, sf_dir):
+    chunks = chunk_view(spark, sf_dir)
+    targets = chunks.where("id % 100 = 1").select(F.col("id").alias("target"))
+    return context.enhanced_window(chunks, targets, ContextSettings(max_total=6, min_importance=0.1)).select("target", "id", F.col("frame").cast("long").alias("frame"))
+
+
+@query(f"SELECT id FROM {_CHUNKS} WHERE list_has_any(tags, ['fr', 'src3'])")
+def tags_any(spark, sf_dir):
+    return chunk_view(spark, sf_dir).where(lookup.tagged_any(F.col("tags"), ["fr", "src3"])).select("id")
+
+
+@query(f"SELECT id FROM {_CHUNKS} WHERE list_has_all(tags, ['en', 'src3'])")
+def tags_all(spark, sf_dir):
+    return chunk_view(spark, sf_dir).where(lookup.tagged_all(F.col("tags"), ["en", "src3"])).select("id")
+
+
+@query(f"SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM {_CHUNKS}) GROUP BY tag ORDER BY n DESC, tag LIMIT 10")
+def tag_top10(spark, sf_dir):
+    return stats.top_tags(chunk_view(spark, sf_dir))
+
+
+@query(f"SELECT id, CAST(importance AS DOUBLE) AS importance FROM {_CHUNKS} WHERE importance >= 0.7")
+def importance_filter(spark, sf_dir):
+    return chunk_view(spark, sf_dir).where(lookup.important(F.col("importance"), 0.7)).select("id", "importance")
+
+
+@query(f"SELECT id, CAST(coalesce(quality, importance) AS DOUBLE) AS importance FROM {_CHUNKS} LEFT JOIN labels ON id = doc_id")
+def importance_update(spark, sf_dir):
+    updates = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("importance"))
+    return index.set_importance(chunk_view(spark, sf_dir), updates).select("id", "importance")
+
+
+@query(f"SELECT id, CAST(importance AS DOUBLE) AS importance FROM (SELECT id, importance FROM {_CHUNKS} UNION ALL SELECT (SELECT max(doc_id) FROM documents) + 1 + row_number() OVER (ORDER BY item_id) - 1, 0.5 FROM benchmark)")
+def index_add_chunks(spark, sf_dir):
+    new = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), "text", F.lit(0).alias("frame"))
+    chunks = chunk_view(spark, sf_dir)
+    return index.add_chunks(chunks, new).select("id", "importance")
+
+
+def _scored(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select(F.col("vec_id").alias("id"), "embedding", F.array(F.concat(F.lit("label"), F.col("label"))).alias("tags"), ((F.col("vec_id") % 10) / 10.0).alias("importance"))
+
+
+_ENHANCED = "SELECT vec_id AS id, 'label' || label AS tag, (vec_id % 10) / 10.0 AS importance, round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 6) + 0.0 AS distance FROM embeddings, " + _Q
+
+
+@query(f"SELECT id, distance, 1.0 - distance AS score FROM ({_ENHANCED}) WHERE tag IN ('label1', 'label2', 'label3') AND importance >= 0.3 ORDER BY distance, id LIMIT 10")
+def search_enhanced(spark, sf_dir):
+    return search.enhanced(_scored(spark, sf_dir), first_vector(spark, sf_dir), 10, tags=["label1", "label2", "label3"], min_importance=0.3, digits=DIGITS)
+
+
+@query(f"SELECT id, distance, 1.0 - distance AS score FROM (SELECT * FROM ({_ENHANCED}) ORDER BY distance, id LIMIT 40) WHERE tag IN ('label1', 'label2', 'label3') AND importance >= 0.3")
+def search_enhanced_compat(spark, sf_dir):
+    return search.enhanced(_scored(spark, sf_dir), first_vector(spark, sf_dir), 40, tags=["label1", "label2", "label3"], min_importance=0.3, filter_first=False, digits=DIGITS)
+
+
+@query(f"SELECT count(*) AS chunk_count, CAST(coalesce(max(frame) + 1, 0) AS BIGINT) AS frame_count FROM {_CHUNKS}")
+def db_stats(spark, sf_dir):
+    return stats.db_stats(chunk_view(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS total_chunks, count(frame) AS total_frames FROM {_CHUNKS}")
+def encoder_stats(spark, sf_dir):
+    return stats.encoder_stats(chunk_view(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS total_chunks, count(DISTINCT frame) AS total_frames, CAST(count(*) AS DOUBLE) / count(DISTINCT frame) AS avg_chunks_per_frame, round(CAST(avg(importance) AS DOUBLE), 6) AS avg_importance, CAST(count(*) * 384 * 4 + sum(strlen(text)) + count(*) * 200 + (count(DISTINCT frame) + count(*)) * 16 AS BIGINT) AS memory_bytes FROM {_CHUNKS}")
+def index_stats(spark, sf_dir):
+    return stats.index_stats(chunk_view(spark, sf_dir), 384).withColumn("avg_importance", F.round("avg_importance", 6))
+
+
+@query("SELECT count(*) AS entries, CAST(sum(strlen(text)) AS BIGINT) AS text_bytes, round(avg(strlen(text)), 6) AS avg_text_bytes, round((sum(strlen(text)) + count(*) * 384 * 4) / 1048576.0, 6) AS mb FROM (SELECT DISTINCT text FROM documents)")
+def cache_stats(spark, sf_dir):
+    found = stats.cache_stats(table(spark, sf_dir, "documents").select("text").distinct(), 384)
+    return found.withColumns({"avg_text_bytes": F.round("avg_text_bytes", 6), "mb": F.round("mb", 6)})
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (quality = 1) AS succeeded, count(*) FILTER (quality IS NULL OR quality <> 1) AS failed FROM labels")
+def processing_stats(spark, sf_dir):
+    return stats.processing_stats(table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("ok")))
+
+
+@query("SELECT min(ts) AS first_created, max(ts) AS last_created FROM events")
+def index_time_range(spark, sf_dir):
+    return stats.time_range(table(spark, sf_dir, "events").withColumnRenamed("ts", "created_at"))
+
+
+_PAIRS = "SELECT conv_id, turn, text AS human, nt AS assistant FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant'"
+
+
+@query(_PAIRS)
+def conv_pairs(spark, sf_dir):
+    return conversations.pairs(table(spark, sf_dir, "conversations"))
+
+
+_FORMATTED = f"SELECT conv_id, turn, 0 AS part, 'Human: ' || human AS text FROM ({_PAIRS}) UNION ALL SELECT conv_id, turn, 1, 'Assistant: ' || assistant FROM ({_PAIRS})"
+
+
+@query(_FORMATTED)
+def conv_format(spark, sf_dir):
+    return conversations.formatted(conv_pairs(spark, sf_dir), "conv_id", "turn")
+
+
+@query(f"SELECT CAST((SELECT max(doc_id) + 1 FROM documents) + row_number() OVER (ORDER BY conv_id, turn, part) - 1 AS BIGINT) AS id, conv_id, turn, part, text FROM ({_FORMATTED})")
+def conv_append_ids(spark, sf_dir):
+    start = table(spark, sf_dir, "documents").agg(F.coalesce(F.max("doc_id"), F.lit(-1)) + 1).first()[0]
+    rows = conversations.formatted(conv_pairs(spark, sf_dir), "conv_id", "turn")
+    return conversations.numbered(rows, ["conv_id", "turn", "part"], "conv_id", start).select("id", "conv_id", "turn", "part", "text")
+
+
+_RANKED = f"(SELECT CAST(row_number() OVER (ORDER BY distance, id) AS INTEGER) AS rank, text FROM (SELECT vec_id AS id, round({_COS}, 6) + 0.0 AS distance FROM {_V} e, {_Q} ORDER BY distance, id LIMIT 5) JOIN documents ON doc_id = id)"
+
+
+def _ranked(spark, sf_dir):
+    """The five best vectors' documents: vectors and documents are paired by id, which is a convention of this catalog."""
+    found = search.top_k(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 5, digits=DIGITS)
+    rank = F.expr("row_number() over (order by distance, id)")
+    return found.withColumn("rank", rank).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id").select("rank", "text")
+
+
+@query(f"SELECT string_agg('[Context]: ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM {_RANKED} WHERE rank <= 3")
+def rag_context(spark, sf_dir):
+    return rag.context(_ranked(spark, sf_dir))
+
+
+@query(f"SELECT trim('Based on the knowledge base, here''s what I found:' || chr(10) || chr(10) || string_agg(rank || '. ' || CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END, chr(10) || chr(10) ORDER BY rank)) AS answer FROM {_RANKED} WHERE rank <= 3")
+def rag_context_only(spark, sf_dir):
+    return rag.context_only(_ranked(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS n, round(avg(strlen(text)), 6) AS avg_bytes, avg(strlen(text)) >= 50 AS relevant FROM {_RANKED}")
+def rag_gate(spark, sf_dir):
+    return rag.gate(_ranked(spark, sf_dir)).withColumn("avg_bytes", F.round("avg_bytes", 6))
+
+
+@query("SELECT doc_id, array_to_string(list_resize(list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')[1:16], lambda w: length(w)), 16, 0), ',') AS padded, CAST(least(16, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''))) AS BIGINT) AS used FROM documents")
+def token_pad_truncate(spark, sf_dir):
+    lengths = F.transform(F.filter(F.split("text", r"[ \t\n\r\f]+"), lambda w: w != ""), lambda w: F.length(w))
+    mask = tokens.pad(F.transform(lengths, lambda _: F.lit(1)), 16)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tokens.pad(lengths, 16).cast("array<string>"), ",").alias("padded"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).cast("long").alias("used"))
+
+
+@query("SELECT doc_id, CAST(least(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')), 382) + 2 AS BIGINT) AS n_ids, true AS in_range, CAST(strlen(text) AS BIGINT) AS original_length FROM documents")
+def token_fallback(spark, sf_dir):
+    ids = tokens.word_ids(F.col("text"), 384)
+    inside = F.forall(F.slice(ids, 2, F.greatest(F.size(ids) - 2, F.lit(0))), lambda x: x.between(tokens.FIRST, tokens.FIRST + tokens.RANGE - 1))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(ids).cast("long").alias("n_ids"), (inside & (F.get(ids, F.lit(0)) == tokens.START)).alias("in_range"), F.octet_length("text").cast("long").alias("original_length"))
+
+
+def _capacity_sql() -> str:
+    rows = [f"WHEN v = {v} AND l = '{name}' THEN {row[k]}" for v, row in codec.CAPACITY.items() for k, name in enumerate(codec.LEVELS)]
+    slopes = [f"WHEN l = '{name}' THEN least(1000, {codec.SLOPE[k]} * v)" for k, name in enumerate(codec.LEVELS)]
+    return f"SELECT v AS version, l AS level, CAST(CASE {' '.join(rows + slopes)} END AS BIGINT) AS capacity FROM (SELECT unnest(range(1, 41)) AS v), (SELECT unnest(['L', 'M', 'Q', 'H']) AS l)"
+
+
+@query(_capacity_sql())
+def qr_max_capacity(spark, sf_dir):
+    grid = spark.range(1, 41).select(F.col("id").alias("version"), F.explode(F.array(*map(F.lit, codec.LEVELS))).alias("level"))
+    return grid.select("version", "level", codec.max_capacity(F.col("version"), F.col("level")).alias("capacity"))
+
+
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN format('{} B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS size FROM (SELECT doc_id, n_chars * (1 + doc_id * doc_id) AS n FROM documents)")
+def human_size(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.human_size(F.col("n_chars") * (1 + F.col("doc_id") * F.col("doc_id"))).alias("size"))
+
+
+@query("SELECT doc_id, CAST(CASE WHEN doc_id % 7 = 0 THEN 1024 ELSE greatest(256, least(4096, n_chars // (doc_id % 7))) END AS BIGINT) AS size, CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE 100.0 * (doc_id % 3) / (doc_id % 5) END AS progress FROM documents")
+def optimal_chunk_size(spark, sf_dir):
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", text.best_chunk_size(F.col("n_chars"), d % 7).alias("size"), text.progress((d % 3).cast("double"), (d % 5).cast("double")).alias("progress"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text[1:60], '[/\\:*?""<>|\x00-\x1F\x7F-\x{9F}]', '_', 'g')) AS name FROM documents".replace('""', '"'))
+def sanitize_name(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.safe_name(F.substring("text", 1, 60)).alias("name"))
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def codec_roundtrip(spark, sf_dir):
+    made = table(spark, sf_dir, "documents").select("doc_id", "text", codec.encode(F.col("text")).alias("p"))
+    return made.select("doc_id", (codec.decode("p.payload") == F.col("text")).alias("same"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_append_counts(spark, sf_dir):
+    from ..streaming.append import stream_counts
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-")
+    work = f"{shared}/textloom-stream-{spark.sql('SELECT uuid()').first()[0]}"
+    schema = table(spark, sf_dir, "events").schema
+    return stream_counts(spark, f"{sf_dir}/events.parque[t]", schema, f"{work}/out", f"{work}/checkpoint", key="event_type", time_col="ts")
