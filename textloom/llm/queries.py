@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules, secrets, sharding, token_counts
+from . import chat_format, decontaminate, line_dedup, near_dedup, packing, quality_rules, secrets, sharding, substring_dedup, token_counts
 from .common import Scratch, table
 from .oracles import ORACLES
 
@@ -63,5 +63,27 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_chat_format, op4_token_counts, op5_sharding)}
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return scratch.keep(decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scratch))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), ranks=tokenizer_path("byte_bpe_50k.tiktoken"), size=CONTEXT)
+
+
+_ALL = (op1_quality_rules, op2_secret_scan, op3_chat_format, op4_token_counts, op5_sharding, op6_near_dedup, op7_line_dedup, op8_decontaminate, op9_substring_dedup, op10_packing)
+QUERIES = {f.__name__: f for f in _ALL}
 __all__ = ["ORACLES", "QUERIES"]
