@@ -8,6 +8,7 @@ import gzip
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import CodecSettings
 from ..errors import CodecError
@@ -45,7 +46,7 @@ def encode(text: Column, settings: CodecSettings = CodecSettings()) -> Column:
     return run(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode(payload: pd.Series) -> pd.Series:
     return payload.map(decode_text, na_action="ignore")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WHITE = r"(?U)\s+"
 
@@ -40,8 +42,8 @@ def prepare(text: Column, lowercase: bool = False, normalise=None) -> Column:
     return collapse(F.lower(text) if lowercase else text)
 
 
-@F.pandas_udf("string")
-def nfc(text):
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
     """Unicode normal form C, for which Spark has no function."""
     import unicodedata
 

@@ -406,8 +406,8 @@ _RANKED = f"(SELECT CAST(row_number() OVER (ORDER BY distance, id) AS INTEGER) A
 def _ranked(spark, sf_dir):
     """The five best vectors' documents: vectors and documents are paired by id, which is a convention of this catalog."""
     found = search.top_k(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 5, digits=DIGITS)
-    rank = F.expr("row_number() over (order by distance, id)")
-    return found.withColumn("rank", rank).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id").select("rank", "text")
+    named = found.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return named.select(F.expr("row_number() over (order by distance, id)").alias("rank"), "text")
 
 
 @query(f"SELECT string_agg('[Context]: ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM {_RANKED} WHERE rank <= 3")
@@ -462,7 +462,7 @@ def optimal_chunk_size(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.best_chunk_size(F.col("n_chars"), d % 7).alias("size"), text.progress((d % 3).cast("double"), (d % 5).cast("double")).alias("progress"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(text[1:60], '[/\\:*?""<>|\x00-\x1F\x7F-\x{9F}]', '_', 'g')) AS name FROM documents".replace('""', '"'))
+@query(r'''SELECT doc_id, trim(regexp_replace(text[1:60], '[/\\:*?"<>|\x00-\x1F\x7F-\x{9F}]', '_', 'g')) AS name FROM documents''')
 def sanitize_name(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.safe_name(F.substring("text", 1, 60)).alias("name"))
 

@@ -40,7 +40,7 @@ def append_stream(stream: DataFrame, store: Store, checkpoint: str, settings: Ch
 
 def stream_counts(spark: SparkSession, path: str, schema, out: str, checkpoint: str, *, key: str, time_col: str, late: str = "1 day") -> DataFrame:
     """Rows per key of a folder of Parquet files read as a stream, each file once, into a Parquet folder."""
-    events = spark.readStream.schema(schema).parquet(path).withWatermark(time_col, late)
+    events = spark.readStream.schema(schema).parquet(path).withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late)
 
     def add(batch: DataFrame, number: int) -> None:
         batch.groupBy(key).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/batch={number}")
