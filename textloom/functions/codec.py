@@ -6,12 +6,13 @@ import base64
 import gzip
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..config import CodecSettings
 from ..errors import CodecError
+from ..session import ship
 
 PREFIX = "GZ:"
 
@@ -38,6 +39,8 @@ def decode_text(payload: str) -> str:
 def encode(text: Column, settings: CodecSettings = CodecSettings()) -> Column:
     """struct(payload, compressed, encoded_size in bytes) of each text; nulls stay null."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("payload string, compressed boolean, encoded_size int")
     def run(texts: pd.Series) -> pd.DataFrame:
         made = [(None, None, None) if t is None else (*(x := encode_text(t, settings)), len(x[0].encode())) for t in texts]
@@ -47,10 +50,16 @@ def encode(text: Column, settings: CodecSettings = CodecSettings()) -> Column:
 
 
 @F.pandas_udf(StringType())
-def decode(payload: pd.Series) -> pd.Series:
+def _decoded(payload: pd.Series) -> pd.Series:
     return payload.map(decode_text, na_action="ignore")
 
 
+def decode(payload: Column | str) -> Column:
+    """The text of each payload."""
+    ship(SparkSession.active())
+    return _decoded(payload)
+
+
 # Capacities of versions 1, 10, 20 and 40 at levels L, M, Q and H, and the slope of the others.
 CAPACITY = {1: (25, 20, 16, 10), 10: (174, 136, 100, 74), 20: (370, 290, 216, 158), 40: (852, 666, 496, 364)}
 SLOPE = (20, 15, 12, 8)

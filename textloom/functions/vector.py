@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import Metric
+from .expr import let
 
 
 def literal(vector: Sequence[float]) -> Column:
@@ -52,8 +53,8 @@ def distance(a: Column, b: Column, metric: Metric = Metric.COSINE) -> Column:
 
 def normalise(a: Column) -> Column:
     """a of length 1; a vector without length stays."""
-    size = norm(a)
-    return F.when(size == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: F.try_divide(x.cast("double"), size)))
+    by = lambda size: F.transform(a, lambda x: x.cast("double") / size)
+    return let(norm(a), lambda size: by(F.when(size == 0, F.lit(1.0)).otherwise(size)))
 
 
 def nonzero(a: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import PdfError, TextError
 from ..functions.text import file_extension, strip_markdown
+from ..session import ship
 
 #: Takes a PDF's bytes, yields (page from 1, text).
 PdfExtractor = Callable[[bytes], Iterator[tuple[int, str]]]
@@ -36,6 +37,8 @@ def read_pdf(spark: SparkSession, *paths: str, extractor: PdfExtractor | None =
         raise PdfError("reading PDF text needs an extractor")
     import pandas as pd
 
+    ship(spark)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(s, page, text) for s, content in zip(batch["source"], batch["content"], strict=True) for page, text in extractor(bytes(content)) if text.strip()]
