@@ -72,6 +72,31 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return common.where(100 * F.col("_c") >= PERCENT * (F.col("_t") - F.col("_c"))).select("a", "b")
 
 
+def _rare_pairs(open_docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components that can be alike enough, by their rarest shingles.
+
+    open_docs: rep, n, component. Each set is put in order from the rarest
+    shingle on. Two sets that are alike enough share a shingle among the first
+    n - ceil(0.75 n) + 1 of both, and behind the first that they share enough
+    others must follow in both. The filter is exact; near copies that have
+    grown apart begin with shingles of their own and so meet nothing, however
+    many they are.
+    """
+    tokens = open_docs.join(sets, F.col("rep") == F.col("doc_id")).select("rep", "n", "component", F.explode("set").alias("token"))
+    common = tokens.groupBy(F.col("token").alias("_token")).agg(F.count("*").alias("df")).where("df > 1")
+    ordered = tokens.join(common, F.col("token") == F.col("_token")).groupBy("rep").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.array_sort(F.collect_set(F.struct("df", "token"))).alias("s"))
+    alone = F.col("n") - F.size("s")  # shingles that no other set has come first
+    first = F.expr(f"n - ({PERCENT} * n + 99) div 100 + 1") - alone
+    posted = ordered.where(100 * F.size("s") >= PERCENT * F.col("n")).select("rep", "n", "component", alone.alias("_alone"), F.posexplode(F.slice("s", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("_at", "_x"))
+    posted = posted.select("rep", "n", "component", F.col("_x.token").alias("token"), (F.col("_alone") + F.col("_at")).alias("at"))
+    x, y = posted.alias("x"), posted.alias("y")
+    behind = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    fits = (100 + PERCENT) * behind >= PERCENT * (F.col("x.n") + F.col("y.n"))
+    sizes = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & sizes & fits)
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_shingles, component_id, kept.
 
@@ -83,32 +108,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     each give a row. Other columns of docs are ignored.
 
     Texts with equal sets are one class from the first step on, however many.
-    A bucket of classes makes a star: an edge from its least member to each
-    other one, so a bucket of n gives n - 1 edges; each class is first held
-    against one centre. Where a bucket still holds several components, its
-    members are held against those of the others, so that no link of a bucket
-    is lost; what is in one component already needs no further pair.
+    A bucket of classes makes a star around the member that meets most others,
+    so a bucket of n gives n - 1 edges, and each class is held against its most
+    central neighbour. Where a bucket still holds several components, all pairs
+    of its members between components that can be alike, by an exact filter,
+    are held against each other, so that no link of a bucket is lost; what is
+    in one component already needs no further pair.
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
         rows = scratch.cut(signatures(docs, id_col=id_col, text_col=text_col), "signatures")
         named = rows.where("n_shingles > 0 and doc_id is not null")
         classes = scratch.cut(named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-        buckets = classes.select("rep", "n", F.explode("bands").alias("band"))
-        centres = buckets.groupBy(F.col("band").alias("_band")).agg(F.min("rep").alias("centre"), F.count("*").alias("_size")).where("_size > 1").drop("_size")
-        shared = scratch.cut(buckets.join(centres, F.col("band") == F.col("_band")).select("band", "rep", "n", "centre"), "shared")
+        buckets = classes.select("rep", F.col("n").cast("int").alias("n"), F.explode("bands").alias("band"))
+        met = buckets.groupBy(F.col("band").alias("_band")).agg(F.count("*").alias("size")).where("size > 1")
+        shared = scratch.cut(buckets.join(met, F.col("band") == F.col("_band")).drop("_band"), "shared")
+        weight = shared.groupBy(F.col("rep").alias("_rep")).agg(F.sum("size").alias("weight"))
+        weighed = scratch.cut(shared.join(weight, F.col("rep") == F.col("_rep")).select("band", "rep", F.struct((-F.col("weight")).alias("w"), F.col("rep").alias("c")).alias("rank")), "weighed")
+        centres = weighed.groupBy(F.col("band").alias("_band")).agg(F.min("rank").alias("centre"))
+        spokes = weighed.join(centres, F.col("band") == F.col("_band")).where("centre.c <> rep").groupBy("rep").agg(F.min("centre").alias("centre"))
         ids = shared.select(F.col("rep").alias("_id")).distinct()
-        sets = scratch.cut(full_sets(docs.join(ids.hint("shuffle_hash"), docs[id_col] == ids["_id"], "left_semi"), id_col=id_col, text_col=text_col).dropDuplicates(["doc_id"]), "sets")
-        stars = shared.where("centre < rep").groupBy("rep").agg(F.min("centre").alias("a")).select("a", F.col("rep").alias("b"))
+        sets = scratch.cut(full_sets(docs.join(ids.hint("shuffle_hash"), docs[id_col] == ids["_id"], "left_semi"), id_col=id_col, text_col=text_col), "sets")
+        stars = spokes.select(F.least("rep", "centre.c").alias("a"), F.greatest("rep", "centre.c").alias("b")).distinct()
         links = scratch.cut(_linked(stars, sets), "links")
         joined = scratch.cut(components(scratch, links), "components")
         placed = shared.join(joined, shared["rep"] == joined["node"], "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
         mixed = placed.groupBy(F.col("band").alias("_band")).agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("_band")
-        open_rows = scratch.cut(placed.join(mixed, F.col("band") == F.col("_band")).drop("_band"), "open")
-        x, y = open_rows.alias("x"), open_rows.alias("y")
-        alike = (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
-        pairs = x.join(y, alike).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        pairs = pairs.join(stars, ["a", "b"], "left_anti")
+        open_docs = scratch.cut(placed.join(mixed, F.col("band") == F.col("_band")).select("rep", "n", "component").distinct(), "open")
+        pairs = scratch.cut(_rare_pairs(open_docs, sets), "pairs")
         more = scratch.cut(_linked(pairs, sets), "more")
         whole = components(scratch, links.union(more))
         found = classes.join(whole, classes["rep"] == whole["node"], "left").select(F.col("fp1").alias("_f1"), F.col("fp2").alias("_f2"), F.coalesce("component", "rep").alias("_component"))
