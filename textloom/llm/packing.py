@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import Scratch, salted_slots
 
 PIECES = "doc_id {0}, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -69,6 +70,7 @@ def cuts(total: int, size: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, tokenizer: str, *, ranks: str | None = None, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of at most size tokens, and the ids if asked for."""
+    ship(docs.sparkSession)
     schema = PIECES.format(docs.schema[id_col].dataType.simpleString()) + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

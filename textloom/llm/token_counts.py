@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 BATCH_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
 CACHED_WORDS = 400_000
@@ -100,6 +102,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     added special tokens. Null and empty texts count 0; rows that repeat or
     have a null id each give their row; other columns of docs are ignored.
     """
+    ship(docs.sparkSession)
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_tokens bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
