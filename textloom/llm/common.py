@@ -8,8 +8,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The white space that separates words, U+0020 and U+0009 to U+000D.
-SPACES = " \t\n\x0b\x0c\r"
+from ..session import ship
+
+# The white space that separates words, U+0020 and U+0009 to U+000D, and what is none of it.
+SPACE = r"[\x09-\x0D ]+"
+NOT_SPACE = r"[^\x09-\x0D ]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +28,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
@@ -75,14 +79,24 @@ def let(value: Column, body) -> Column:
 
 
 def flat(text: Column) -> Column:
-    """text with each white-space character a plain space, without those at its ends; null: empty."""
-    return F.trim(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)))
+    """text's words joined by one space; null: empty."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
 
 
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of text as an array; null or blank: empty."""
-    bare = flat(text)
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, " +"))
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+
+
+#: White space inside a line that isn't a single space: nothing else needs a replacement.
+_UNEVEN = r"(?: *[\x09\x0B-\x0D] *| {2,})+"
+
+
+def normalised_lines(text: Column, digits: bool = False) -> Column:
+    """text's lines in lower case, words joined by one space, all digits as 0 if asked for; as many as text has."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), _UNEVEN, " ")
+    plain = F.regexp_replace(plain, "[1-9]", "0") if digits else plain
+    return F.transform(F.split(F.lower(plain), "\n"), lambda x: F.trim(x))
 
 
 def salted_slots(scratch: Scratch, rows: DataFrame, group: str, order: list[str], salt: Column, slot: str) -> DataFrame:

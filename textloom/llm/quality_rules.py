@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat, let, words
+from .common import NOT_SPACE, SPACE, Scratch, let, normalised_lines, words
 
-SYMBOLS = "#*$%&|<>"  # fixed value
+SYMBOLS = "[#*$%&|<>]"  # fixed value
 MIN_WORDS = 50  # fixed value
 MAX_REPEAT_PERCENT = 50  # fixed value
 
 
-def normalised_line(line: Column) -> Column:
-    """line in lower case, its words joined by one space, digits as 0."""
-    return F.lower(F.translate(F.regexp_replace(flat(line), " +", " "), "123456789", "000000000"))
-
-
 def repeated_words(tokens: Column, window: int = 3) -> Column:
     """How many words lie in a window of so many words that the text has twice or more.
 
@@ -52,14 +47,13 @@ def repeated_words(tokens: Column, window: int = 3) -> Column:
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the text's measures: _w (words), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    count = lambda c: F.length(text) - F.length(F.translate(text, c, ""))
-    lines = F.filter(F.split(text, "\n"), lambda x: flat(x) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
     with_words = docs.withColumn("_w", words(F.col(text_col)))
     return with_words.select(
         "*",
         F.size("_w").cast("long").alias("n_words"),
-        (F.length(text) - count(" \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
-        count(SYMBOLS).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_w")).alias("n_repeat_words"),
     )
@@ -67,9 +61,8 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def _lines(text: Column) -> Column:
     """Of each line with a word: (hash of the normalised line, its words)."""
-    spaces = lambda x: F.length(x) - F.length(F.translate(x, " ", ""))
-    normal = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), normalised_line), lambda x: x != "")
-    return F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("line"), (spaces(x) + 1).alias("n")))
+    held = F.filter(normalised_lines(text, digits=True), lambda x: x != "")
+    return F.transform(held, lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("n")))
 
 
 def judge(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 20, depleted_percent: int = 50) -> DataFrame:
@@ -124,8 +117,9 @@ def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         verdict = judge(docs, scratch, id_col=id_col, text_col=text_col, host_col=host_col, **limits)
         kept = verdict.where("kept").select(F.col(id_col).alias("_kept_id"), "frequent").groupBy("_kept_id").agg(F.first("frequent").alias("_frequent"))
         kept = scratch.keep(kept, "kept")
-    stays = lambda x: ~F.array_contains(F.col("_frequent"), F.xxhash64(normalised_line(x)))
-    less = F.array_join(F.filter(F.split(text_col, "\n"), stays), "\n")
+    lines = F.struct(F.split(text_col, "\n").alias("raw"), normalised_lines(F.col(text_col), digits=True).alias("plain"))
+    stays = lambda p: F.filter(p["raw"], lambda _, k: ~F.array_contains(F.col("_frequent"), F.xxhash64(F.get(p["plain"], k))))
+    less = F.array_join(let(lines, stays), "\n")
     text = F.when(F.size("_frequent") > 0, less).otherwise(F.col(text_col))
     joined = docs.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_kept_id"))).withColumn(text_col, text)
     if "n_chars" in docs.columns:
