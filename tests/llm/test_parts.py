@@ -162,22 +162,22 @@ def test_blocks_catch_every_near_simhash(spark):
     r = random.Random(6)
     rows = []
     for k in range(300):
-        x = r.getrandbits(63)
+        x = r.getrandbits(64)
         y = x
-        for bit in r.sample(range(63), r.randint(0, line_dedup.DISTANCE)):
+        for bit in r.sample(range(64), r.randint(0, line_dedup.DISTANCE)):
             y ^= 1 << bit
-        rows.append((k, x, y))
+        rows.append((k, x - (1 << 63), y - (1 << 63)))
     df = spark.createDataFrame(rows, "k int, x bigint, y bigint")
     assert df.where(F.arrays_overlap(line_dedup.block_keys(F.col("x")), line_dedup.block_keys(F.col("y")))).count() == 300
 
 
 def test_simhash_is_the_majority_of_bits(spark):
-    line = "one two three four five six seven two two"
+    line = "alpha beta gamma delta epsilon zeta beta beta of a " + " ".join(f"word{k}" for k in range(300)) + " omega theta" * 9
     rows = spark.createDataFrame([(1, line)], "doc_id bigint, _text string")
     got = line_dedup.line_table(rows).first()
-    hashes = [x[0] for x in spark.createDataFrame([(w,) for w in line.split()], "w string").select(F.xxhash64("w")).collect()]
-    votes = [sum(h >> b & 1 for h in hashes) for b in range(63)]
-    assert got["sim"] == sum(1 << b for b in range(63) if 2 * votes[b] > len(hashes))
+    hashes = [x[0] for x in spark.createDataFrame([(w,) for w in sorted(set(line.split())) if len(w) >= line_dedup.LETTERS], "w string").select(F.xxhash64("w")).collect()]
+    votes = [sum(h >> b & 1 for h in hashes) for b in range(64)]
+    assert got["sim"] % (1 << 64) == sum(1 << b for b in range(64) if 2 * votes[b] > len(hashes))
 
 
 def test_spans_match_a_left_to_right_search(spark):
@@ -193,3 +193,19 @@ def test_spans_match_a_left_to_right_search(spark):
             got = {x["k"]: [(s["start"], s["stop"]) for s in x["s"]] for x in df.select("k", secrets.spans(F.col("t"), made).alias("s")).collect()}
             want = {k: [m.span() for m in pattern.finditer(t) if len(m[rule.group]) >= rule.least] for k, t in enumerate(texts)}
             assert got == want
+
+
+def test_lines_without_their_common_ends_are_as_far_apart(spark):
+    r = random.Random(11)
+    rows = []
+    for k in range(400):
+        a = [r.choice(["ab", "abc", "b", "ca", "aa"]) for _ in range(r.randint(1, 12))]
+        b = list(a)
+        for _ in range(r.randint(0, 3)):
+            at = r.randint(0, len(b))
+            b[at : at + r.randint(0, 2)] = [r.choice(["ab", "q", "abc"])] * r.randint(0, 2)
+        rows.append((k, " ".join(a), " ".join(b or ["x"])))
+    df = spark.createDataFrame(rows, "k int, a string, b string").withColumn("d", line_dedup.differing(F.col("a"), F.col("b")))
+    got = df.select(F.levenshtein("a", "b").alias("x"), F.levenshtein("d.a", "d.b").alias("y"), F.length("a").alias("n"), F.length("d.a").alias("m")).collect()
+    assert all(x["x"] == x["y"] for x in got)
+    assert sum(x["m"] for x in got) < 0.7 * sum(x["n"] for x in got)
