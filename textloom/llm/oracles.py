@@ -58,4 +58,15 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM marked GROUP BY conv_id
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op2_secret_scan": _op2(), "op3_chat_format": OP3}
+# CRC-32 by its table of 256 values, which the first step computes.
+OP5 = """
+WITH crc AS (SELECT list(v ORDER BY n) AS tab FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM (SELECT unnest(range(256)) AS n))),
+bytes AS (SELECT doc_id, coalesce(text, '') AS t, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bs FROM documents),
+facts AS (SELECT doc_id, CAST(len(bs) + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bs), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32 FROM bytes, crc),
+scores AS (SELECT doc_id, n, 1.0 / -ln((CAST('0x' || md5(doc_id || ':' || n)[1:13] AS BIGINT) + 0.5) / 4503599627370496.0) AS score FROM documents, (SELECT unnest(range(17)) AS n)),
+placed AS (SELECT doc_id, CAST(arg_max(n, score) FILTER (n < 16) AS INTEGER) AS shard, CAST(arg_max(n, score) AS INTEGER) AS grown_shard FROM scores GROUP BY doc_id),
+cells AS (SELECT f.*, shard, grown_shard, floor((CAST('0x' || md5(doc_id || ':slot')[1:13] AS BIGINT) + 0.5) / 4503599627370496.0 * greatest(16, ceil((SELECT count(*) FROM documents) / (250000.0 * 16)))) AS salt FROM facts f JOIN placed USING (doc_id))
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY salt, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM cells
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op2_secret_scan": _op2(), "op3_chat_format": OP3, "op5_sharding": OP5}
