@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,9 +25,9 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 class Settings:
     window: int = 32  # words of a passage
     step: int = 16  # words from one passage searched to the next
-    rank: int = 128  # dimensions of the latent space
-    common: float = 0.05  # terms in more of the passages than this share say nothing
-    cosine: float = 0.5  # least cosine of a candidate
+    rank: int = 64  # dimensions of the latent space
+    common: float = 0.01  # terms in more of the passages than this share say nothing
+    cosine: float = 0.6  # least cosine of a candidate
     subsequence: float = 0.75  # least share of an item's words, in order, that settles it
     paraphrase: float = 0.55  # least share if the answer is there too
     answer: float = 0.8  # least share of the answer's words, in order
@@ -126,8 +127,9 @@ def passage_counts(rows: DataFrame, n_terms: int, window: int) -> DataFrame:
             for _, starts, terms in _chunks(batch):
                 block, first = _blocks(starts, window)
                 there = terms >= 0
-                pairs = np.unique(block[there] * np.int64(n_terms) + terms[there])
-                total[:-1] += np.bincount(pairs % n_terms, minlength=n_terms)
+                pairs = np.sort(block[there] * np.int64(n_terms) + terms[there], kind="stable")
+                new = np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)]
+                total[:-1] += np.bincount(pairs[new] % n_terms, minlength=n_terms)
                 total[-1] += first[-1]
         term = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.where(term == n_terms, -1, term).astype(np.int32)), pa.array(total[term])], names=["term", "n"])
@@ -211,6 +213,7 @@ def search(rows: DataFrame, model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         s = m.settings
+        bags = [Counter(x.tolist()) for x in m.items]
         for batch in batches:
             keys, found = [], []
             for low, starts, terms in _chunks(batch):
@@ -220,34 +223,33 @@ def search(rows: DataFrame, model) -> DataFrame:
                     continue
                 full = np.zeros((first[-1] + 1, z.shape[1]), z.dtype)
                 full[b] = z
-                ends = np.zeros(first[-1] + 1, bool)  # blocks that end a row
-                ends[first[1:] - 1] = True
-                many = s.window // s.step
+                left = np.repeat(first[1:], np.diff(first)) - np.arange(first[-1])  # blocks of the row from here on
                 passage = full[:-1].copy()
-                for k in range(1, many):
-                    same = np.searchsorted(first, np.arange(first[-1]), side="right") == np.searchsorted(first, np.minimum(np.arange(first[-1]) + k, first[-1] - 1), side="right")
-                    same &= np.arange(first[-1]) + k < first[-1]
-                    passage[same] += full[np.flatnonzero(same) + k]
+                for k in range(1, s.window // s.step):
+                    passage[left > k] += full[np.flatnonzero(left > k) + k]
                 live = np.flatnonzero(passage.any(axis=1))
                 best: dict[tuple[int, int], tuple] = {}
                 for at in range(0, len(live), 8192):
                     part = live[at : at + 8192]
                     cosine = _unit(passage[part]) @ m.latent.T
-                    for p, item in zip(*np.nonzero(cosine >= s.cosine), strict=True):
-                        block = part[p]
-                        row = int(np.searchsorted(first, block, side="right")) - 1
-                        start = starts[row] + (block - first[row]) * s.step
+                    p, item_no = np.nonzero(cosine >= s.cosine)
+                    row_no = np.searchsorted(first, part[p], side="right") - 1
+                    start_no = starts[row_no] + (part[p] - first[row_no]) * s.step
+                    for cos, item, row, start in zip(cosine[p, item_no].tolist(), item_no.tolist(), row_no.tolist(), start_no.tolist(), strict=True):
                         words = m.items[item]
                         reach = len(words) // 2
                         region = terms[max(starts[row], start - reach) : min(starts[row + 1], start + s.window + reach)]
+                        # No subsequence is longer than the item's words that occur there at all.
+                        if sum(map(bags[item].__getitem__, bags[item].keys() & region.tolist())) < s.paraphrase * len(words):
+                            continue
                         shared = common_subsequence(words, region) / len(words)
                         if shared < s.paraphrase:
                             continue
                         tail = m.answers[item]
                         answer = common_subsequence(tail, region) / len(tail)
                         if shared >= s.subsequence or answer >= s.answer:
-                            value = (shared, float(cosine[p, item]), answer)
-                            best[low + row, int(item)] = max(best.get((low + row, int(item)), value), value)
+                            value = (shared, cos, answer)
+                            best[low + row, item] = max(best.get((low + row, item), value), value)
                 for (row, item), value in best.items():
                     keys.append(row)
                     found.append((item, *value))
