@@ -242,6 +242,26 @@ def test_paraphrases_are_found(spark):
     assert [(r.doc_id, r.item_id) for r in found.collect()] == [(1, 7)]
 
 
+def test_leaks_in_many_rows_are_found(spark):
+    """An item whose words are all common: its document copied to, or itself appended to, a third of the rows; and as a paraphrase."""
+    item = prose(70, 24)
+    words = [w if k % 5 else "other" for k, w in enumerate(item.split())]
+    own = lambda k: prose(5000 + k, 60)
+    items = spark.createDataFrame([(1, item), (2, prose(71, 30))], "item_id bigint, text string")
+    for text in (lambda k: own(0) + " " + item, lambda k: own(k) + " " + item, lambda k: own(k) + " " + " ".join(words)):
+        rows = [(k, own(k) if k % 3 else text(k)) for k in range(900)]
+        found = leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), items)
+        assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(k, 1) for k in range(0, 900, 3)]
+
+
+def test_leaks_in_a_small_table_are_found(spark):
+    item = prose(72, 24)
+    rows = [(1, prose(73, 20) + " " + item), (2, prose(74, 30)), (3, item)]
+    for own in (item, " ".join(item.split()[:5])):
+        found = leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(1, own)], "item_id bigint, text string"))
+        assert sorted(r.doc_id for r in found.collect()) == [1, 3]
+
+
 def test_substrings(docs, empty, odd):
     got = {d: (r.n_words, r.n_removed, r.kept_sha256) for d, r in by_id(substring_dedup.remove_repeats(docs)).items()}
     assert got == brute.repeats(TEXTS)

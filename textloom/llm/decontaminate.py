@@ -26,7 +26,10 @@ class Settings:
     window: int = 32  # words of a passage
     step: int = 16  # words from one passage searched to the next
     rank: int = 64  # dimensions of the latent space
-    common: float = 0.01  # terms in more of the passages than this share say nothing
+    common: float = 0.01  # terms in more of the passages than this share say nothing,
+    seldom: int = 20  # unless that many passages have them at most,
+    telling: float = 0.25  # or unless fewer than this share of an item's words would be left
+    seed: int = 8  # words in a row of an item that make a candidate whatever their weights
     cosine: float = 0.6  # least cosine of a candidate
     subsequence: float = 0.75  # least share of an item's words, in order, that settles it
     paraphrase: float = 0.55  # least share if the answer is there too
@@ -199,6 +202,70 @@ class Model:
     answers: list[np.ndarray]
     latent: np.ndarray
     settings: Settings = field(default_factory=Settings)
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(init=False)
+
+    def __post_init__(self):
+        self.seeds = seeds_of(self.items, self.settings.seed)
+
+
+def term_weights(df: np.ndarray, passages: int, items: list[np.ndarray], s: Settings) -> np.ndarray:
+    """Each term's inverse document frequency; 0 if it is common, unless an item would be left without telling words.
+
+    Such items have enough words in the corpus to be found there, but fewer
+    than s.telling of their words are seldom ones; all their terms then count
+    as just not common. So do terms that no passage has, or they would outweigh
+    an item's others.
+    """
+    limit = max(s.common * passages, s.seldom)
+    just = min(limit, passages)
+    idf = np.log((1.0 + passages) / (1.0 + np.where(df > 0, np.minimum(df, just), just))) + 1.0
+    here, common = df > 0, df > limit
+    lift = np.zeros(len(df), bool)
+    for x in items:
+        if here[x].mean() >= s.paraphrase and (here & ~common)[x].mean() < s.telling:
+            lift[x] = True
+    return np.where(common & ~lift, 0.0, idf)
+
+
+def _grams(terms: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the size terms from each place on."""
+    factors = np.random.default_rng(11).integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        out += (terms[at + k].astype(np.uint64) + np.uint64(1)) * factors[k]
+    return out
+
+
+def seeds_of(items: list[np.ndarray], size: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length: (hashes in order, item, offset) of all runs of size terms of the items, shorter items whole."""
+    by: dict[int, list] = {}
+    for k, x in enumerate(items):
+        n = min(size, len(x))
+        at = np.arange(len(x) - n + 1)
+        by.setdefault(n, []).append((_grams(x, at, n), np.full(len(at), k), at))
+    out = {}
+    for n, parts in by.items():
+        hashes, item, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        out[n] = hashes[order], item[order], offset[order]
+    return out
+
+
+def _seed_hits(seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], starts: np.ndarray, terms: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, where the item would begin, place of the run) for each run of terms that an item has too."""
+    foreign = np.concatenate([[0], np.cumsum(terms < 0)])
+    for n, (hashes, item, offset) in seeds.items():
+        if len(terms) < n:
+            continue
+        whole = np.flatnonzero(foreign[n:] == foreign[:-n])
+        row = np.searchsorted(starts, whole, side="right") - 1
+        inside = whole + n <= starts[row + 1]
+        whole, row = whole[inside], row[inside]
+        made = _grams(terms, whole, n)
+        low, high = np.searchsorted(hashes, made, side="left"), np.searchsorted(hashes, made, side="right")
+        for k in np.flatnonzero(high > low).tolist():
+            for j in range(int(low[k]), int(high[k])):
+                yield int(row[k]), int(item[j]), int(whole[k] - offset[j]), int(whole[k])
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -217,10 +284,10 @@ def search(rows: DataFrame, model) -> DataFrame:
         for batch in batches:
             keys, found = [], []
             for low, starts, terms in _chunks(batch):
+                if not len(terms):
+                    continue
                 half, first = _blocks(starts, s.step)
                 b, z = _times(*_entries(half, terms, m.weight), m.basis)
-                if not len(b):
-                    continue
                 full = np.zeros((first[-1] + 1, z.shape[1]), z.dtype)
                 full[b] = z
                 left = np.repeat(first[1:], np.diff(first)) - np.arange(first[-1])  # blocks of the row from here on
@@ -229,6 +296,23 @@ def search(rows: DataFrame, model) -> DataFrame:
                     passage[left > k] += full[np.flatnonzero(left > k) + k]
                 live = np.flatnonzero(passage.any(axis=1))
                 best: dict[tuple[int, int], tuple] = {}
+
+                def check(row, item, start, length, cos):
+                    words = m.items[item]
+                    reach = len(words) // 2
+                    region = terms[max(starts[row], start - reach) : min(starts[row + 1], start + length + reach)]  # noqa: B023
+                    # No subsequence is longer than the item's words that occur there at all.
+                    if sum(map(bags[item].__getitem__, bags[item].keys() & region.tolist())) < s.paraphrase * len(words):
+                        return
+                    shared = common_subsequence(words, region) / len(words)
+                    if shared < s.paraphrase:
+                        return
+                    tail = m.answers[item]
+                    answer = common_subsequence(tail, region) / len(tail)
+                    if shared >= s.subsequence or answer >= s.answer:
+                        value = (shared, cos, answer)
+                        best[low + row, item] = max(best.get((low + row, item), value), value)  # noqa: B023
+
                 for at in range(0, len(live), 8192):
                     part = live[at : at + 8192]
                     cosine = _unit(passage[part]) @ m.latent.T
@@ -236,20 +320,13 @@ def search(rows: DataFrame, model) -> DataFrame:
                     row_no = np.searchsorted(first, part[p], side="right") - 1
                     start_no = starts[row_no] + (part[p] - first[row_no]) * s.step
                     for cos, item, row, start in zip(cosine[p, item_no].tolist(), item_no.tolist(), row_no.tolist(), start_no.tolist(), strict=True):
-                        words = m.items[item]
-                        reach = len(words) // 2
-                        region = terms[max(starts[row], start - reach) : min(starts[row + 1], start + s.window + reach)]
-                        # No subsequence is longer than the item's words that occur there at all.
-                        if sum(map(bags[item].__getitem__, bags[item].keys() & region.tolist())) < s.paraphrase * len(words):
-                            continue
-                        shared = common_subsequence(words, region) / len(words)
-                        if shared < s.paraphrase:
-                            continue
-                        tail = m.answers[item]
-                        answer = common_subsequence(tail, region) / len(tail)
-                        if shared >= s.subsequence or answer >= s.answer:
-                            value = (shared, cos, answer)
-                            best[low + row, item] = max(best.get((low + row, item), value), value)
+                        check(row, item, start, s.window, cos)
+                seen = set()
+                for row, item, start, place in _seed_hits(m.seeds, starts, terms):
+                    if (row, item, start) not in seen:
+                        seen.add((row, item, start))
+                        there = passage[first[row] + (place - starts[row]) // s.step]
+                        check(row, item, start, len(m.items[item]), float((_unit(there[None, :]) @ m.latent[item])[0]))
                 for (row, item), value in best.items():
                     keys.append(row)
                     found.append((item, *value))
@@ -275,9 +352,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, id_co
     benchmark. Their TF-IDF matrix is never built: a randomised SVD takes its
     product with a test matrix in one pass over all documents, the benchmark's
     own rows weighing as much as the corpus, and an orthonormal basis of the
-    product is the latent space. Each passage whose cosine with an item reaches
-    the limit is held against it: the longest common subsequence of words, and
-    for paraphrases that of the item's last sentence.
+    product is the latent space. Terms are counted over different texts, so
+    copies make none common. Each passage whose cosine with an item reaches the
+    limit, or that has settings.seed words of it in a row (a shorter item: all),
+    whatever their weights, is held against it: the longest common subsequence
+    of words, and for paraphrases that of the item's last sentence.
 
     Null and blank texts and items without a term match nothing; rows that
     repeat an id give their rows once; rows with a null id are searched and
@@ -301,14 +380,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, id_co
         rows = scratch.cut(term_numbers(source, sent), "terms")
         df = np.zeros(n)
         passages = 1
-        for r in passage_counts(rows, n, settings.window).toLocalIterator():
+        for r in passage_counts(rows.select("terms").distinct(), n, settings.window).toLocalIterator():
             if r["term"] < 0:
                 passages = r["n"]
             else:
                 df[r["term"]] = r["n"]
         number = lambda ts: np.array([vocabulary[t] for t in ts], np.int32)
         own = [number(terms_of(r["text"])) for r in batch]
-        weight = np.where(df > settings.common * max(passages, 20), 0.0, np.log((1.0 + passages) / (1.0 + df)) + 1.0)
+        weight = term_weights(df, passages, own, settings)
         starts = np.concatenate([[0], np.cumsum([len(x) for x in own])])
         b, t, w = _vectors(np.repeat(np.arange(len(own)), np.diff(starts)), np.concatenate(own), weight)
         rank = min(settings.rank, n)
