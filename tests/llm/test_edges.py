@@ -223,6 +223,14 @@ def test_lines(spark, docs, empty, odd):
     assert near != base
 
 
+def test_long_lines_of_repeated_rows_are_counted(spark):
+    line = " ".join(f"word{k}" for k in range(200))
+    rows = [(1, line), (1, line), (1, line + "\nand more of it"), (None, line), (None, line), (2, line + " more")]
+    rows += [(k, " ".join(f"word{j}" for j in range(100_000))) for k in (3, 4)]
+    out = line_dedup.line_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_removed) for r in out) == [(0, 1, 0)] * 2 + [(1, 1, 1)] * 3 + [(2, 1, 1), (3, 1, 0), (4, 1, 1)]
+
+
 def test_leaks(spark, docs, empty, odd):
     items = spark.createDataFrame([(1, SHARED), (2, prose(1234, 40)), (3, ""), (4, None), (5, "...")], "item_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()} == {(11, 1), (12, 1)}
