@@ -223,6 +223,24 @@ def test_lines(spark, docs, empty, odd):
     assert near != base
 
 
+def test_most_lines_alike_by_edit_similarity_are_found(spark):
+    """Two lines a group, one to a few words changed: those that brute force finds alike."""
+    r, pairs = random.Random(21), []
+    for k in range(400):
+        a = prose(40_000 + k, r.randint(12, 45)).split()
+        b = list(a)
+        for at in r.sample(range(len(a)), max(1, len(a) // r.randint(12, 25))):
+            b[at] = r.choice([prose(50_000 + 100 * k + at, 1), b[at] + "s", b[at][1:] + "x"])
+        pairs.append((2 * k, " ".join(a), " ".join(b)))
+    df = spark.createDataFrame(pairs, "k bigint, a string, b string")
+    alike = {x.k for x in df.where(F.levenshtein("a", "b") <= 0.1 * F.greatest(F.length("a"), F.length("b"))).select("k").collect()}
+    docs = df.select(F.col("k").alias("doc_id"), F.col("a").alias("text")).union(df.select(F.col("k") + 1, "b"))
+    gone = {d - 1 for d, x in by_id(line_dedup.line_report(docs)).items() if x.n_removed}
+    assert gone <= alike
+    assert len(alike) > 300
+    assert len(gone) >= 0.97 * len(alike)
+
+
 def test_long_lines_of_repeated_rows_are_counted(spark):
     line = " ".join(f"word{k}" for k in range(200))
     rows = [(1, line), (1, line), (1, line + "\nand more of it"), (None, line), (None, line), (2, line + " more")]
