@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ..config import ChunkSettings, ContextSettings, Metric, SearchSettings, Str
 from ..functions import codec, text, tokens
 from ..functions import vector as V
 from ..operators import chunking, context, conversations, index, lookup, search, stats
+from ..session import shared_folder
 from . import rag
 
 QUERIES: dict = {}
@@ -477,7 +476,6 @@ def codec_roundtrip(spark, sf_dir):
 def stream_append_counts(spark, sf_dir):
     from ..streaming.append import stream_counts
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-")
-    work = f"{shared}/textloom-stream-{spark.sql('SELECT uuid()').first()[0]}"
+    work = f"{shared_folder(spark)}/textloom-stream-{spark.sql('SELECT uuid()').first()[0]}"
     schema = table(spark, sf_dir, "events").schema
     return stream_counts(spark, f"{sf_dir}/events.parque[t]", schema, f"{work}/out", f"{work}/checkpoint", key="event_type", time_col="ts")

@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .errors import StorageError
+
 
 def session(name: str = "textloom", master: str | None = None, **more: str) -> SparkSession:
     """UTC, adaptive execution with skew handling; anything else as the cluster has it or as given."""
@@ -36,3 +38,24 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
     atexit.register(lambda: Path(path).unlink(missing_ok=True))
     context._has_textloom = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one set on the context.
+
+    Where neither is set, a local session gets a folder of its own, once a
+    context; a cluster has no machine-local folder that all can read, so there
+    it is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    by_hand = context._jsc.sc().getCheckpointDir()
+    if by_hand.isDefined():
+        return by_hand.get()
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise StorageError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not getattr(context, "_textloom_folder", None):
+        context._textloom_folder = tempfile.mkdtemp(prefix="textloom-")
+    return context._textloom_folder
