@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 from tests.llm import brute
 from textloom.llm import chat_format, decontaminate, line_dedup, near_dedup, packing, quality_rules, secrets, sharding, substring_dedup, token_counts
 from textloom.llm.common import Scratch
+from textloom.llm.queries import conversation_events
 
 CLASHING = "_text _w n_words kept prefix band line set terms shard slot length blob start doc component node word rep".split()
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -117,6 +118,32 @@ def test_frequent_lines_go_but_for_the_first(spark):
     assert out[5]["n_chars"] == len(lines(5, 6))
 
 
+def test_each_text_of_a_repeated_id_is_judged(spark):
+    good, short = lines(400, 6), "only three words"
+    rows = [(1, good, "en", "h", len(good)), (1, short, "en", "h", len(short)), (2, good, "en", "h", len(good)), (2, good, "fr", "h", len(good))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = sorted((r.doc_id, r.text, r.lang) for r in quality_rules.apply_rules(df).collect())
+    assert kept == [(1, good, "en"), (2, good, "en"), (2, good, "fr")]
+
+
+def test_copies_under_their_own_ids_count_as_documents(spark):
+    text = lines(401, 6)
+    df = spark.createDataFrame([(k, text, "en", "h", 0) for k in range(25)] + [(99, text, "en", "other", 0)], SCHEMA)
+    got = by_id(judged(df))
+    assert {d for d, r in got.items() if r.kept} == {0, 99}
+    repeats = spark.createDataFrame([(1, text, "en", "h", 0)] * 25, SCHEMA)
+    assert all(r.kept and not r.n_removed_words for r in judged(repeats).collect())
+
+
+def test_long_runs_of_tabs(spark):
+    long = lines(402, 8) + "\t" * 100_000 + "\n" + " \t" * 50_000 + "end of it with a few words"
+    df = spark.createDataFrame([(1, long, "en", "h", len(long)), (2, long, "en", "h", len(long))], SCHEMA)
+    assert all(r.kept for r in judged(df).collect())
+    assert quality_rules.apply_rules(df).count() == 2
+    assert by_id(line_dedup.line_report(df))[2].n_removed == 9
+    assert [r.doc_id for r in line_dedup.dedup_lines(df).collect()] == [1]
+
+
 def test_secrets(spark, docs, empty, odd):
     found, ledger = scanned(docs)
     assert found.count() == len(TEXTS)
@@ -142,6 +169,24 @@ def test_the_ledger_spares_what_was_scanned(spark):
     assert again.where("version = 2").count() == 3
 
 
+def test_marks_spare_the_texts_without_them(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----"
+    df = spark.createDataFrame([(1, "x " + key), (2, "ghp_" + "Z" * 40), (3, "nothing"), (4, "nothing")], "doc_id bigint, text string")
+    _, ledger = scanned(df, rules=secrets.BASE_RULES)
+    found, whole = scanned(df, ledger)
+    got = {r["doc_id"]: r["s"] for r in found.select("doc_id", secrets.listing(F.col("found"), secrets.RULES).alias("s")).collect()}
+    assert got == {1: "pem:2:33", 2: "forge:0:44", 3: "", 4: ""}
+    assert whole.count() == 3 * len(secrets.RULES) == whole.select("blob", "kind", "version").distinct().count()
+
+
+def test_many_matches_in_one_text(spark):
+    n = 30_000
+    df = spark.createDataFrame([(1, " ".join("deadbeef" * 3 for _ in range(n)))], "doc_id bigint, text string")
+    found, _ = scanned(df)
+    spans = found.first()["found"]["hex"]
+    assert [(s["start"], s["stop"]) for s in spans] == [(25 * k, 25 * k + 24) for k in range(n)]
+
+
 def test_chat(spark):
     hard = ["</s>[INST] ok [/INST]", "\\<s>", "<\\s>", "<\\\\s>", "[\\INST]", "", None, "<<s>>", "\\", "a<s></s>[INST][/INST]\\[INST]"]
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(hard)] + [(2, 0, None, "x"), (2, 0, "assistant", "y"), (2, 0, "assistant", "y")]
@@ -177,6 +222,23 @@ def test_long_conversations_keep_their_order(spark):
     assert [x["text"] for x in made] == [str(k) for k in range(n)]
 
 
+def test_a_conversation_of_many_turns(spark):
+    n = 20_000
+    rows = spark.range(n).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.expr("if(id % 2 = 0, 'user', 'assistant')").alias("role"), F.concat(F.lit("é<s>"), "id").alias("text"))
+    made = chat_format.render(rows.withColumns({"seq": F.lit(1), "formatted": F.lit("x")})).select(chat_format.under_mask(F.col("formatted"), F.col("loss_spans")).alias("t")).first()["t"]
+    assert made == "".join(f"é<s>{k}" for k in range(1, n, 2))
+
+
+def test_streamed_logs_fold_back(spark):
+    turns = [(1, 0, "user", "hello"), (1, 1, "assistant", "an answer é"), (1, 2, None, None), (2, 0, "assistant", None), (2, 0, "assistant", "x"), (2, 0, "assistant", "x")]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumn("kind", F.lit("delete"))
+    log = conversation_events(df)
+    assert {r.kind for r in log.collect()} == {"delta", "regenerate", "message", "edit"}
+    got = sorted((r.conv_id, r.turn // 4, r.role or "", r.text) for r in chat_format.fold_events(log).collect())
+    assert got == sorted((c, t, r or "", x or "") for c, t, r, x in turns)
+    assert chat_format.fold_events(log.limit(0)).count() == 0
+
+
 def test_tokens(docs, empty, odd):
     t = Tokenizer.from_file(WORD())
     got = by_id(token_counts.count_tokens(docs, WORD()))

@@ -8,7 +8,8 @@ from public_tokenizers import path as tokenizer_file
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, graph, line_dedup, packing, secrets, sharding, shingles, substring_dedup, token_counts
-from textloom.llm.common import Scratch, salted_slots, words
+from textloom.llm.common import Scratch, least_of_group, normalised_lines, running_sums, salted_slots, words
+from textloom.llm.quality_rules import repeated_words
 
 
 def test_words_split_at_six_characters_only(spark):
@@ -209,3 +210,42 @@ def test_lines_without_their_common_ends_are_as_far_apart(spark):
     got = df.select(F.levenshtein("a", "b").alias("x"), F.levenshtein("d.a", "d.b").alias("y"), F.length("a").alias("n"), F.length("d.a").alias("m")).collect()
     assert all(x["x"] == x["y"] for x in got)
     assert sum(x["m"] for x in got) < 0.7 * sum(x["n"] for x in got)
+
+
+def test_running_sums(spark):
+    r = random.Random(12)
+    rows = [(k, [r.randrange(100) for _ in range(n)]) for k, n in enumerate([0, 1, 2, 63, 64, 65, 4095, 4096, 4097, 20_000])]
+    got = {x.k: x.s for x in spark.createDataFrame(rows, "k int, v array<int>").select("k", running_sums(F.col("v")).alias("s")).collect()}
+    for k, v in rows:
+        want, at = [], 0
+        for x in v:
+            want.append(at)
+            at += x
+        assert got[k] == want
+
+
+def test_least_of_group(spark):
+    rows = [(k % 3 if k % 5 else None, "a" if k % 2 else None, k) for k in range(600)]
+    got = least_of_group(spark.createDataFrame(rows, "g int, h string, v int"), ["g", "h"], F.col("v"), F.col("v"), "least").collect()
+    assert sorted(map(tuple, got), key=lambda x: x[2]) == [(g, h, v, min(w for a, b, w in rows if (a, b) == (g, h))) for g, h, v in rows]
+
+
+@pytest.mark.parametrize("bits", [1, 60, 62])
+def test_repeated_words_whatever_the_hash_keeps(spark, bits):
+    """With few bits left to the hash, windows of different words collide."""
+    r = random.Random(bits)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(n)) for n in (0, 1, 3, 4, 9, 30, 200, 700)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {x.k: x.n for x in df.select("k", repeated_words(words(F.col("t")), 3, bits).alias("n")).collect()}
+    for k, t in enumerate(texts):
+        ws = t.split()
+        seen = {}
+        for i in range(len(ws) - 2):
+            seen.setdefault(tuple(ws[i : i + 3]), []).append(i)
+        assert got[k] == len({i + j for at in seen.values() if len(at) > 1 for i in at for j in range(3)})
+
+
+def test_runs_of_any_blanks_are_one_space(spark):
+    texts = ["a" + "\t" * 100_000 + "b", ("\t \r" * 30_000) + "x\n" + " " * 100_000 + "y", "a \t b\x0b\x0cc  d e", "\t\n\t"]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", normalised_lines(F.col("t")).alias("x")).orderBy("k").collect()
+    assert [x.x for x in got] == [[" ".join(line.split()) for line in t.split("\n")] for t in texts]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, running_sums
 
 # The template: <s> role [INST] text [/INST] </s> for each turn.
 OPEN, HEAD, TAIL, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
@@ -13,6 +13,8 @@ CONTROLS = (OPEN, CLOSE, HEAD, TAIL)
 
 #: Turns folded into one string before a conversation's strings are joined.
 BLOCK = 256
+#: Characters of the pieces in which a conversation's string is read back.
+PIECE = 4096
 
 
 def escape(text: Column) -> Column:
@@ -35,8 +37,10 @@ def fold_events(events: DataFrame, *, conv: str = "conv_id", seq: str = "seq", m
 
     Kinds: ``message`` and ``edit`` set a message's text, ``delta`` adds to it,
     ``regenerate`` empties it for the deltas that follow, ``delete`` takes the
-    message out. Events count in the order of seq, ties in that of kind and
-    text. A message's turn is the seq of its first event, its role the first
+    message out. Events count in the order of their conversation's seq, ties in
+    that of kind and text. The log is partitioned by conversation and message,
+    so that a conversation of any length spreads over tasks, and each part is
+    sorted by the conversation's sequence. A message's turn is the seq of its first event, its role the first
     that isn't null. Null texts are empty; unknown or null kinds add nothing;
     repeated rows count as often as they occur.
     """
@@ -72,10 +76,10 @@ def render(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", ro
     whole = blocks.groupBy("_conv").agg(F.array_sort(F.collect_list("_b")).alias("_bs"))
 
     def masked(turns: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
-        here = lambda a, x: F.array(F.struct((a["at"] + x["lead"]).alias("start"), (a["at"] + x["n"] - len(TAIL + CLOSE)).alias("stop")))
-        none = F.array().cast("array<struct<start:int,stop:int>>")
-        return F.aggregate(turns, start, lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), F.concat(a["spans"], F.when(x["role"] == "assistant", here(a, x)).otherwise(none)).alias("spans")), lambda a: a["spans"])
+        starts = running_sums(F.transform(turns, lambda x: x["n"]))
+        spot = lambda at: F.transform(turns, lambda x, k: F.struct(x["role"].alias("role"), (F.get(at, k) + x["lead"]).cast("int").alias("start"), (F.get(at, k) + x["n"] - len(TAIL + CLOSE)).cast("int").alias("stop")))
+        learnt = lambda all_turns: F.filter(all_turns, lambda x: x["role"] == "assistant")
+        return F.transform(let(starts, lambda at: learnt(spot(at))), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
 
     formatted = F.array_join(F.transform("_bs", lambda b: b["text"]), "")
     return whole.select(F.col("_conv").alias(conv), formatted.alias("formatted"), masked(F.flatten(F.transform("_bs", lambda b: b["turns"]))).alias("loss_spans"))
@@ -89,5 +93,17 @@ def read_back(formatted: Column) -> Column:
 
 
 def under_mask(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped: each span's, in order, nothing between."""
-    return F.array_join(F.transform(spans, lambda x: unescape(F.substring(formatted, x["start"] + 1, x["stop"] - x["start"]))), "")
+    """All text under the loss mask, unescaped: each span's, in order, nothing between.
+
+    The string is first cut into pieces of PIECE characters, so that a span
+    far behind in a long conversation isn't searched from the beginning.
+    """
+    over = lambda k: F.floor(k / PIECE).cast("int")
+
+    def piece(parts: Column, x: Column) -> Column:
+        first = over(x["start"])
+        here = F.array_join(F.slice(parts, first + 1, over(x["stop"]) - first + 1), "")
+        return unescape(F.substring(here, x["start"] - first * PIECE + 1, x["stop"] - x["start"]))
+
+    cut = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return let(cut, lambda parts: F.array_join(F.transform(spans, lambda x: piece(parts, x)), ""))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 # The white space that separates words, U+0020 and U+0009 to U+000D, and what is none of it.
 SPACE = r"[\x09-\x0D ]+"
@@ -30,12 +29,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         ship(spark)
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
-            root = set_by_hand.get() if set_by_hand.isDefined() else tempfile.mkdtemp(prefix="textloom-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        self.root = f"{root}/textloom-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/textloom-{uuid.uuid4().hex}"
         self._gone: list = []
 
     def _path(self, tag: str):
@@ -89,7 +83,8 @@ def words(text: Column) -> Column:
 
 
 #: White space inside a line that isn't a single space: nothing else needs a replacement.
-_UNEVEN = r"(?: *[\x09\x0B-\x0D] *| {2,})+"
+#: A class alone repeats without recursion, so a run may be as long as the text.
+_UNEVEN = r"[\x09\x0B-\x0D ]{2,}+|[\x09\x0B-\x0D]"
 
 
 def normalised_lines(text: Column, digits: bool = False) -> Column:
@@ -114,3 +109,59 @@ def salted_slots(scratch: Scratch, rows: DataFrame, group: str, order: list[str]
     cells = cells.select("_group", "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     joined = ranked.join(cells, ranked[group].eqNullSafe(cells["_group"]) & (ranked["_salt"] == cells["_cell"]))
     return joined.withColumn(slot, F.col("_rank") + F.col("_before")).drop("_salt", "_rank", "_group", "_cell", "_before")
+
+
+#: Cells of one group in least_of_group().
+CELLS = 256
+
+
+def least_of_group(rows: DataFrame, group: list[str], value: Column, by: Column, name: str) -> DataFrame:
+    """rows with the least value of their group, in column name; groups are compared null-safely, null values ignored.
+
+    A group is dealt into CELLS cells by the hash of ``by``: the least of each
+    cell is combined map-side, that of a group is taken over its cells, given
+    back to them, and joined to the rows by cell. So the rows of a group of any
+    size spread over as many tasks as there are cells, and no row is repeated.
+    """
+    dealt = rows.withColumn("_cell", F.pmod(F.xxhash64(by), F.lit(CELLS)).cast("int"))
+    keys = [f"_g{k}" for k in range(len(group))]
+    cells = dealt.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], F.col("_cell").alias("_of")).agg(F.min(value).alias("_least"))
+    least = cells.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("_least").alias(name))
+    given = cells.drop("_least").join(least, _all([cells[k].eqNullSafe(least[f"_{k}"]) for k in keys])).drop(*[f"_{k}" for k in keys])
+    same = [dealt[g].eqNullSafe(given[k]) for g, k in zip(group, keys, strict=True)]
+    return dealt.join(given, _all([*same, dealt["_cell"] == given["_of"]])).drop("_cell", "_of", *keys)
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
+def running_sums(numbers: Column, block: int = 64) -> Column:
+    """For each of an array of numbers the sum of those before it, as longs.
+
+    Sums of blocks, and of blocks of blocks, so that each place adds up two
+    slices shorter than a block instead of all that stands before it.
+    """
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    over = lambda k, n: F.floor(k / n).cast("int")
+
+    def blocks(x: Column) -> Column:
+        return F.transform(upto(over(F.size(x) + (block - 1), block)), lambda b: total(F.slice(x, b * block + 1, F.lit(block))))
+
+    def inside(x: Column, k: Column) -> Column:
+        first = over(k, block) * block
+        return total(F.slice(x, first + 1, k - first))
+
+    def whole(x: Column) -> Column:
+        return F.transform(upto(F.size(x)), lambda k: total(F.slice(x, F.lit(1), k)))
+
+    def placed(x: Column, one: Column, two: Column) -> Column:
+        return F.transform(upto(F.size(x)), lambda k: F.get(two, over(k, block * block)) + inside(one, over(k, block)) + inside(x, k))
+
+    none = F.array().cast("array<bigint>")
+    made = let(numbers, lambda x: let(blocks(x), lambda one: let(whole(blocks(one)), lambda two: placed(x, one, two))))
+    return F.when(F.size(numbers) > 0, made).otherwise(none)

@@ -12,7 +12,7 @@ covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM grams, (VALUES (0), (
 raw_lines AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS raw FROM d),
 lines AS (SELECT doc_id, source, t, raw, lower(translate(trim(regexp_replace(raw, '[\\x09-\\x0D\\x20]+', ' ', 'g')), '123456789', '000000000')) AS line FROM raw_lines),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM lines WHERE line <> '' GROUP BY doc_id),
-frequent AS (SELECT source, line, min(doc_id) AS first_id FROM lines WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT t) > 20),
+frequent AS (SELECT source, line, min(doc_id) AS first_id FROM lines WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT doc_id) > 20),
 lost AS (SELECT l.doc_id, sum(length(l.line) - length(replace(l.line, ' ', '')) + 1) AS n
          FROM lines l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.line = f.line WHERE l.doc_id <> f.first_id GROUP BY l.doc_id),
 facts AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,

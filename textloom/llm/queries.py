@@ -10,6 +10,7 @@ from .common import Scratch, table
 from .oracles import ORACLES
 
 SHARDS = 16
+EVENTS = 4  # at most, that a turn is told in
 CONTEXT = 2048
 
 
@@ -25,8 +26,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scans: one under the base rules, which fills the ledger, and one under all rules, which scans for the new ones only."""
+    docs = table(spark, sf_dir, "documents")
     with Scratch(spark) as scratch:
-        found, _ = secrets.scan_versions(table(spark, sf_dir, "documents"), scratch, path_cols=["doc_id"], text_col="text")
+        _, ledger = secrets.scan_versions(docs, scratch, path_cols=["doc_id"], text_col="text", rules=secrets.BASE_RULES)
+        found, _ = secrets.scan_versions(docs, scratch, path_cols=["doc_id"], text_col="text", ledger=ledger)
         base = {f"n_{r.kind}": F.size(f"found.{r.kind}").cast("long") for r in secrets.BASE_RULES}
         return scratch.keep(
             found.select(
@@ -38,12 +42,28 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
 
+def conversation_events(turns: DataFrame) -> DataFrame:
+    """A log of streamed conversations from finished turns (conv_id, turn, role, text), which fold_events() gives back.
+
+    An assistant's turn is a draft that is regenerated and streamed in two
+    deltas; any other is a message that an edit sets right. Sequence numbers
+    are a conversation's, EVENTS to a turn.
+    """
+    text = F.coalesce("text", F.lit(""))
+    half = F.expr("length(coalesce(text, '')) div 2")
+    event = lambda k, kind, said: F.struct((F.col("turn") * EVENTS + k).alias("seq"), F.lit(kind).alias("kind"), said.alias("said"))
+    streamed = F.array(event(0, "delta", F.concat(text, F.lit(" ..."))), event(1, "regenerate", F.lit("")), event(2, "delta", F.substring(text, F.lit(1), half)), event(3, "delta", F.substring(text, half + 1, F.length(text))))
+    edited = F.array(event(0, "message", F.substring(text, F.lit(1), half)), event(1, "edit", text))
+    numbered = turns.withColumn("message", F.monotonically_increasing_id())
+    log = numbered.select("conv_id", "message", "role", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)).alias("e"))
+    return log.select("conv_id", "message", "role", F.col("e.seq").alias("seq"), F.col("e.kind").alias("kind"), F.col("e.said").alias("text"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     log = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    events = log.select("conv_id", F.col("turn").alias("seq"), F.monotonically_increasing_id().alias("message"), F.lit("message").alias("kind"), "role", "text")
-    made = chat_format.render(chat_format.fold_events(events))
+    made = chat_format.render(chat_format.fold_events(conversation_events(log)))
     turns = F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
     return made.withColumn("turns", chat_format.read_back(F.col("formatted"))).withColumn("learnt", chat_format.under_mask(F.col("formatted"), F.col("loss_spans"))).select(
         "conv_id",

@@ -7,20 +7,25 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let
+from .common import Scratch, let, running_sums
 
 LEDGER = "blob string, kind string, version int, spans array<struct<start:bigint,stop:bigint>>"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: a Java pattern, and the least characters of one of its groups."""
+    """A kind of secret: a Java pattern, and the least characters of one of its groups.
+
+    marks: strings of which every match holds one; a text without them needs
+    no scan under this rule. None where the kind has no such strings.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
     version: int = 1
+    marks: tuple[str, ...] = ()
 
 
 # The base kinds' patterns and lengths, in their order.
@@ -31,9 +36,9 @@ BASE_RULES = (
 )
 #: What the scan finds besides: private key headers, signed web tokens, tokens of code hosts.
 MORE_RULES = (
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("forge", "gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", marks=("PRIVATE KEY-----",)),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", marks=(".eyJ",)),
+    Rule("forge", "gh[pousr]_[A-Za-z0-9]{36,}", marks=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -49,9 +54,10 @@ def spans(text: Column, rule: Rule) -> Column:
     nothing = F.array().cast("array<struct<start:bigint,stop:bigint>>")
 
     def placed(x: Column) -> Column:
-        step = lambda a, k: F.struct((a["at"] + F.length(F.get(x["gap"], k)) + F.length(F.get(x["hit"], k))).alias("at"), F.concat(a["found"], F.when(F.length(F.get(x["held"], k)) >= rule.least, F.array(F.struct((a["at"] + F.length(F.get(x["gap"], k))).alias("start"), (a["at"] + F.length(F.get(x["gap"], k)) + F.length(F.get(x["hit"], k))).alias("stop")))).otherwise(nothing)).alias("found"))
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), nothing.alias("found"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["hit"]) - 1), start, step, lambda a: a["found"])
+        steps = F.transform(x["hit"], lambda h, k: F.length(F.get(x["gap"], k)) + F.length(h))
+        # Match k begins behind all steps before it and its own gap.
+        spot = lambda at: F.transform(x["hit"], lambda h, k: F.struct((F.get(at, k) + F.length(F.get(x["gap"], k))).alias("start"), (F.get(at, k) + F.length(F.get(x["gap"], k)) + F.length(h)).alias("stop")))
+        return F.filter(let(running_sums(steps), spot), lambda _, k: F.length(F.get(x["held"], k)) >= rule.least)
 
     parts = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("held"), F.split(text, rule.pattern, -1).alias("gap"))
     return F.when(text.rlike(_likely(rule)), let(parts, lambda x: F.when(F.size(x["hit"]) > 0, placed(x)).otherwise(nothing))).otherwise(nothing)
@@ -66,7 +72,7 @@ def _likely(rule: Rule) -> str:
 
 def _fast(rule: Rule) -> Rule:
     """The same matches with the length inside the pattern, where a match can't begin inside a shorter one."""
-    return Rule(rule.kind, _likely(rule), 0, 0, rule.version) if rule.kind in ("access", "hex") and rule in BASE_RULES else rule
+    return Rule(rule.kind, _likely(rule), version=rule.version) if rule.kind in ("access", "hex") and rule in BASE_RULES else rule
 
 
 def scan_versions(versions: DataFrame, scratch: Scratch, *, path_cols: list[str], text_col: str, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -80,6 +86,8 @@ def scan_versions(versions: DataFrame, scratch: Scratch, *, path_cols: list[str]
 
     The blob's text comes from the row with the smallest path: names and
     numbers travel to find it, then each scanned text once, without a sort.
+    Where every rule still wanted has marks, texts without any of them don't
+    travel: their pairs enter the ledger without spans.
     """
     wanted = {r.kind: r.version for r in rules}
     named = versions.select(F.struct(*path_cols).alias("_path"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("blob", F.sha2("_text", 256))
@@ -91,12 +99,21 @@ def scan_versions(versions: DataFrame, scratch: Scratch, *, path_cols: list[str]
         current = ledger.where(F.col("kind").isin(*wanted)).where(F.expr("version = " + _version_case(wanted)))
         seen = current.groupBy("blob").agg(F.collect_set("kind").alias("_seen"))
         todo = blobs.join(seen, "blob", "left").withColumn("_kinds", F.array_except(F.array(*[F.lit(k) for k in wanted]), F.coalesce("_seen", F.array().cast("array<string>")))).where(F.size("_kinds") > 0).drop("_seen")
-    todo = todo.select(F.col("blob").alias("_b"), F.col("_path").alias("_p"), "_kinds")
-    texts = named.join(todo.hint("shuffle_hash"), named["_path"].eqNullSafe(todo["_p"]) & (named["blob"] == todo["_b"]))
+    todo = scratch.cut(todo.select(F.col("blob").alias("_b"), F.col("_path").alias("_p"), "_kinds"), "todo")
+    unseen = {r["kind"] for r in todo.select(F.explode("_kinds").alias("kind")).distinct().collect()}  # kinds: as many as rules at most
+    due = [r for r in rules if r.kind in unseen]
+    worth = _any([F.contains("_text", F.lit(m)) for r in due for m in r.marks]) if all(r.marks for r in due) else F.lit(True)
+    texts = named.where(worth).join(todo.hint("shuffle_hash"), named["_path"].eqNullSafe(todo["_p"]) & (named["blob"] == todo["_b"]))
     nothing = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    found = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("_text"), _fast(r)).alias("spans")) for r in rules]
-    scanned = texts.select("blob", "_kinds", F.array(*found).alias("_found")).select("blob", F.explode(F.filter("_found", lambda x: F.array_contains(F.col("_kinds"), x["kind"]))).alias("x"))
-    fresh = scratch.cut(scanned.select("blob", "x.kind", "x.version", "x.spans").dropDuplicates(["blob", "kind"]), "fresh")
+    found = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("_text"), _fast(r)).alias("spans")) for r in due]
+    scanned = texts.select("blob", F.filter(F.array(*found), lambda x: F.array_contains(F.col("_kinds"), x["kind"]) & (F.size(x["spans"]) > 0)).alias("_found")) if due else None
+    hits = scratch.cut(scanned.select("blob", F.explode("_found").alias("x")).select("blob", "x.kind", "x.version", "x.spans").dropDuplicates(["blob", "kind"]), "hits") if due else None
+    fresh = todo.select(F.col("_b").alias("blob"), F.explode("_kinds").alias("kind")).withColumn("version", F.expr(_version_case(wanted)))
+    if due:
+        fresh = fresh.join(hits.drop("version"), ["blob", "kind"], "left").select("blob", "kind", "version", F.coalesce("spans", nothing).alias("spans"))
+    else:
+        fresh = fresh.withColumn("spans", nothing)
+    fresh = scratch.cut(fresh, "fresh")
     whole = fresh if ledger is None else ledger.unionByName(fresh)
     hits = (fresh if ledger is None else current.unionByName(fresh)).where(F.size("spans") > 0)
     by_blob = hits.groupBy(F.col("blob").alias("_b")).agg(F.map_from_entries(F.collect_list(F.struct("kind", "spans"))).alias("_map"))
@@ -105,6 +122,13 @@ def scan_versions(versions: DataFrame, scratch: Scratch, *, path_cols: list[str]
     return rows.select("_path.*", "blob", full.alias("found")), whole
 
 
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
 def _version_case(wanted: dict[str, int]) -> str:
     return "case kind " + " ".join(f"when '{k}' then {v}" for k, v in wanted.items()) + " end"
 
