@@ -303,12 +303,44 @@ def test_most_lines_alike_by_edit_similarity_are_found(spark):
     assert len(gone) >= 0.97 * len(alike)
 
 
+def test_texts_that_share_an_id_are_apart(spark):
+    a, u = prose(700, 30), prose(701, 30)
+    rows = [(1, a, "en"), (2, a, "en"), (2, u, "en"), (2, u, "fr")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted((r.doc_id, r.text, r.lang) for r in line_dedup.dedup_lines(df).collect()) == [(1, a, "en"), (2, u, "en"), (2, u, "fr")]
+    assert sorted((r.doc_id, r.n_removed) for r in line_dedup.line_report(df).collect()) == [(1, 0), (2, 0), (2, 0), (2, 1)]
+
+
+def test_lines_without_spaces_are_judged(spark):
+    long = "".join(random.Random(31).choices("あいうえおかきくけこさしすせそ", k=120))
+    df = spark.createDataFrame([(1, long), (2, long[:60] + "ん" + long[61:]), (3, long[::-1]), (4, "short"), (5, "short")], "doc_id bigint, text string")
+    assert {d for d, r in by_id(line_dedup.line_report(df)).items() if r.n_removed} == {2}
+
+
+def test_a_changed_letter_leaves_lines_alike(spark):
+    """300 pairs of lines of 20 words that differ in one letter, and 300 that differ in two words of 24."""
+    r, rows = random.Random(32), []
+    for k in range(600):
+        a = prose(60_000 + k, 20 if k < 300 else 24).split()
+        b = list(a)
+        for at in r.sample(range(len(a)), 1 if k < 300 else 2):
+            b[at] = "z" + b[at][1:] if k < 300 else "y" * len(b[at])
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    pairs = df.where("doc_id % 2 = 0").join(df.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
+    alike = {x.doc_id + 1 for x in pairs.where(F.levenshtein("text", "other") <= 0.1 * F.greatest(F.length("text"), F.length("other"))).collect()}
+    gone = {d for d, x in by_id(line_dedup.line_report(df)).items() if x.n_removed}
+    assert gone <= alike
+    assert len(gone & {2 * k + 1 for k in range(300)}) >= 297
+    assert len(gone) >= 0.97 * len(alike)
+
+
 def test_long_lines_of_repeated_rows_are_counted(spark):
     line = " ".join(f"word{k}" for k in range(200))
     rows = [(1, line), (1, line), (1, line + "\nand more of it"), (None, line), (None, line), (2, line + " more")]
     rows += [(k, " ".join(f"word{j}" for j in range(100_000))) for k in (3, 4)]
     out = line_dedup.line_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert sorted((r.doc_id or 0, r.n_lines, r.n_removed) for r in out) == [(0, 1, 0)] * 2 + [(1, 1, 1)] * 3 + [(2, 1, 1), (3, 1, 0), (4, 1, 1)]
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_removed) for r in out) == [(0, 1, 0)] * 2 + [(1, 1, 1)] * 3 + [(2, 1, 1), (3, 1, 0), (4, 1, 1)]  # (1, ...) has two texts
 
 
 def test_leaks(spark, docs, empty, odd):

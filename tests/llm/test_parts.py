@@ -1,6 +1,7 @@
 """The operators' parts, each against a plain version."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -172,13 +173,18 @@ def test_blocks_catch_every_near_simhash(spark):
     assert df.where(F.arrays_overlap(line_dedup.block_keys(F.col("x")), line_dedup.block_keys(F.col("y")))).count() == 300
 
 
-def test_simhash_is_the_majority_of_bits(spark):
-    line = "alpha beta gamma delta epsilon zeta beta beta of a " + " ".join(f"word{k}" for k in range(300)) + " omega theta" * 9
-    rows = spark.createDataFrame([(1, line)], "doc_id bigint, _text string")
-    got = line_dedup.line_table(rows).first()
-    hashes = [x[0] for x in spark.createDataFrame([(w,) for w in sorted(set(line.split())) if len(w) >= line_dedup.LETTERS], "w string").select(F.xxhash64("w")).collect()]
-    votes = [sum(h >> b & 1 for h in hashes) for b in range(64)]
-    assert got["sim"] % (1 << 64) == sum(1 << b for b in range(64) if 2 * votes[b] > len(hashes))
+@pytest.mark.parametrize("line", ["alpha beta gamma delta epsilon zeta beta beta of a " + " ".join(f"word{k}" for k in range(70_000)) + " omega theta" * 9, "a b c d e f a", "onewordofmanylettersthatgoesonandonandon" * 3])
+def test_simhash_is_the_majority_of_bits(spark, line):
+    rows = spark.createDataFrame([(1, 1, line), (1, 1, line)], "doc_id bigint, content bigint, _text string")
+    got = line_dedup.line_table(rows).collect()
+    assert len(got) == 1
+    ws = line.split()
+    n = line_dedup.GRAM
+    voters = [line[k : k + n] for k in range(len(line) - n + 1)] if len(ws) < line_dedup.MIN_WORDS else [w for w in ws if len(w) >= line_dedup.LETTERS] or ws
+    counts = Counter(voters)
+    hashes = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in sorted(counts)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    votes = [sum(c for w, c in counts.items() if hashes[w] >> b & 1) for b in range(64)]
+    assert got[0]["sim"] % (1 << 64) == sum(1 << b for b in range(64) if 2 * votes[b] > len(voters))
 
 
 def test_spans_match_a_left_to_right_search(spark):
