@@ -180,7 +180,7 @@ def test_simhash_is_the_majority_of_bits(spark, line):
     assert len(got) == 1
     ws = line.split()
     n = line_dedup.GRAM
-    voters = [line[k : k + n] for k in range(len(line) - n + 1)] if len(ws) < line_dedup.MIN_WORDS else [w for w in ws if len(w) >= line_dedup.LETTERS] or ws
+    voters = [line[k : k + n] for k in range(len(line) - n + 1)] if len(ws) < line_dedup.MIN_WORDS else ws
     counts = Counter(voters)
     hashes = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in sorted(counts)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
     votes = [sum(c for w, c in counts.items() if hashes[w] >> b & 1) for b in range(64)]

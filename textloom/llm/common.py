@@ -89,7 +89,11 @@ _UNEVEN = r"[\x09\x0B-\x0D ]{2,}+|[\x09\x0B-\x0D]"
 
 def normalised_lines(text: Column, digits: bool = False) -> Column:
     """text's lines in lower case, words joined by one space, all digits as 0 if asked for; as many as text has."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), _UNEVEN, " ")
+    plain = F.coalesce(text, F.lit(""))
+    uneven = F.lit(False)
+    for blanks in ("  ", "\t", "\x0b", "\f", "\r"):
+        uneven = uneven | F.contains(plain, F.lit(blanks))  # a plain search, which spares most texts the pattern
+    plain = F.when(uneven, F.regexp_replace(plain, _UNEVEN, " ")).otherwise(plain)
     plain = F.regexp_replace(plain, "[1-9]", "0") if digits else plain
     return F.transform(F.split(F.lower(plain), "\n"), lambda x: F.trim(x))
 
