@@ -317,6 +317,17 @@ def test_lines_without_spaces_are_judged(spark):
     assert {d for d, r in by_id(line_dedup.line_report(df)).items() if r.n_removed} == {2}
 
 
+def test_long_lines_are_compared_by_words(spark):
+    a = prose(800, 3000).split()
+    few, many = list(a), list(a)
+    for k in range(5, 3000, 40):
+        few[k] = "changed"
+    for k in range(5, 3000, 6):
+        many[k] = "changed"
+    df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(few)), (3, " ".join(many))], "doc_id bigint, text string")
+    assert {d for d, r in by_id(line_dedup.line_report(df)).items() if r.n_removed} == {2}
+
+
 def test_a_changed_letter_leaves_lines_alike(spark):
     """300 pairs of lines of 20 words that differ in one letter, and 300 that differ in two words of 24."""
     r, rows = random.Random(32), []

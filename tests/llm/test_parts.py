@@ -219,6 +219,13 @@ def test_lines_without_their_common_ends_are_as_far_apart(spark):
     assert sum(x["m"] for x in got) < 0.7 * sum(x["n"] for x in got)
 
 
+def test_one_sign_a_word(spark):
+    got = spark.createDataFrame([("the cat the dog é",)], "t string").select(line_dedup.one_sign_a_word(F.col("t")).alias("s")).first()["s"]
+    assert len(got) == 5
+    assert got[0] == got[2]
+    assert len(set(got)) == 4
+
+
 def test_running_sums(spark):
     r = random.Random(12)
     rows = [(k, [r.randrange(100) for _ in range(n)]) for k, n in enumerate([0, 1, 2, 63, 64, 65, 4095, 4096, 4097, 20_000])]
