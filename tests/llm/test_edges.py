@@ -406,11 +406,31 @@ def test_substrings(docs, empty, odd):
 
 
 def test_hot_prefixes_give_the_same(docs, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "HOT_DOCS", 1)
+    monkeypatch.setattr(substring_dedup, "HOT_SUFFIXES", 1)
     got = {d: (r.n_words, r.n_removed, r.kept_sha256) for d, r in by_id(substring_dedup.remove_repeats(docs)).items()}
     assert got == brute.repeats(TEXTS)
 
 
+def test_repeats_under_a_repeated_id(spark):
+    a, b = prose(910, 60), prose(911, 70)
+    rows = [(1, a), (2, b), (2, a + " " + b), (2, a + " " + b), (3, b)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(1, 60, 0), (2, 70, 0), (2, 130, 60), (2, 130, 60), (3, 70, 70)]
+
+
+def test_windows_are_equal_by_words_whatever_their_hashes(spark):
+    """All windows of one prefix group that differ in one word of 50 are apart; small trees and ties change nothing."""
+    base = prose(900, 120).split()
+    texts = []
+    for k in range(60):
+        ws = list(base)
+        ws[30 + k // 2] = f"w{k // 2}"
+        texts.append((k + 1, " ".join(ws)))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = {d: (r.n_words, r.n_removed, r.kept_sha256) for d, r in by_id(substring_dedup.remove_repeats(df)).items()}
+    assert got == brute.repeats(texts)
+
+
 def test_packing(docs, empty, odd):
     t = Tokenizer.from_file(BYTE())
     encode = lambda x: t.encode(x, add_special_tokens=False).ids

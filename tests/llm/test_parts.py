@@ -69,6 +69,28 @@ def test_window_hashes_tell_windows_apart():
     assert (substring_dedup.sliding_least(v, 43) == [v[i : i + 43].min() for i in range(58)]).all()
 
 
+def test_suffix_ranks_sort_by_words():
+    r = np.random.default_rng(2)
+    ids = r.integers(0, 3, 400)
+    ids[300:360] = ids[20:80]
+    for depth in (1, 2, 5, 8, 50):
+        got = substring_dedup.suffix_ranks(ids, depth)
+        windows = [tuple(ids[i : i + depth]) for i in range(len(ids) - depth + 1)]
+        order = {w: k for k, w in enumerate(sorted(set(windows)))}
+        assert got.tolist() == [order[w] for w in windows]
+
+
+def test_trees_compare_words_not_hashes():
+    """Under one prefix, as if all hashes collided."""
+    import pyarrow as pa
+
+    a = [f"a{k}" for k in range(70)]
+    b = [*a[:40], "x", *a[41:]]
+    rows = [(1, 0, a), (2, 5, a), (3, 0, b), (4, 9, b)]
+    table = pa.table({"doc_id": [r[0] for r in rows], "content": [7, 8, 7, 8], "start": [r[1] for r in rows], "n": pa.array([21] * 4, pa.int32()), "words": [" ".join(r[2]).encode() for r in rows]})
+    assert sorted(map(tuple, (x.values() for x in substring_dedup.subtree(table).to_pylist()))) == [(2, 8, 5, 75), (4, 8, 9, 79)]
+
+
 def test_short_inputs_have_no_window():
     h = np.arange(10, dtype=np.uint64)
     for n in range(10):

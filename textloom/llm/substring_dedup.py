@@ -1,4 +1,4 @@
-"""Substring dedup: prefix-partitioned, depth-bounded suffix trees over the windows that can repeat."""
+"""Substring dedup: prefix-partitioned suffix trees over the suffixes that can repeat, by their words."""
 
 from __future__ import annotations
 
@@ -9,19 +9,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, least_of_group
 from .shingles import WordHash, mix
 
 WINDOW = 50  # words; fixed value
 PREFIX = 8  # words of the prefixes by which suffixes are first split
 CHUNK_WORDS = 200_000
 #: Suffixes of one tree, about: what one task holds in memory at a time.
-TREE_SUFFIXES = 500_000
-#: A prefix that more documents have than this is split further, by whole windows.
-HOT_DOCS = 5_000
+TREE_SUFFIXES = 200_000
+#: A prefix that more suffixes begin with is prolonged to whole windows.
+HOT_SUFFIXES = 100_000
 _LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -63,112 +64,159 @@ def _chunks(texts: list[bytes], known: WordHash) -> Iterator[tuple[list[int], li
             rows, split, room = [], [], 0
 
 
-def _windows(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(prefix, window) of each place: the window's hash, and the least hash of a PREFIX-word run inside it."""
-    return sliding_least(window_hashes(hashes, PREFIX), WINDOW - PREFIX + 1), window_hashes(hashes, WINDOW)
-
-
 def outline(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_words, sha256 of its words, two longs naming them, and the prefixes of its windows."""
+    """Per row: doc_id, content, n_words, sha256 of its words, two longs naming them, and the prefixes of its windows with how many have each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for batch in batches:
-            n, shas, marks, prefixes, ends = [], [], [], [], [0]
-            for _, split, starts, hashes in _chunks(batch.column(1).to_pylist(), known):
+            n, shas, marks, prefixes, sizes, ends = [], [], [], [], [], [0]
+            for _, split, starts, hashes in _chunks(batch.column(2).to_pylist(), known):
                 least = sliding_least(window_hashes(hashes, PREFIX), WINDOW - PREFIX + 1) if len(hashes) >= WINDOW else hashes[:0]
                 for k, ws in enumerate(split):
-                    own = np.unique(least[starts[k] : starts[k + 1] - WINDOW + 1]) if len(ws) >= WINDOW else hashes[:0]
+                    own, size = np.unique(least[starts[k] : starts[k + 1] - WINDOW + 1] if len(ws) >= WINDOW else hashes[:0], return_counts=True)
                     digest = hashlib.sha256(b" ".join(ws))
                     n.append(len(ws))
                     shas.append(digest.hexdigest())
                     marks.append(np.frombuffer(digest.digest()[:16], np.int64))
                     prefixes.append(own.view(np.int64))
+                    sizes.append(size)
                     ends.append(ends[-1] + len(own))
             marks = np.array(marks, np.int64).reshape(-1, 2)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), lists], names=["doc_id", "n_words", "sha", "fp1", "fp2", "prefixes"])
+            flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
+            many = pa.array((np.concatenate(sizes) if sizes else np.zeros(0, np.int64)).astype(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([flat, many], names=["prefix", "n"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), lists], names=["doc_id", "content", "n_words", "sha", "fp1", "fp2", "prefixes"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_words bigint, sha string, fp1 bigint, fp2 bigint, prefixes array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, content bigint, n_words bigint, sha string, fp1 bigint, fp2 bigint, prefixes array<struct<prefix:bigint,n:int>>")
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """Of rows doc_id, _text, _prefixes: doc_id, prefix, start, windows for each run of windows with one of the prefixes."""
+def _prefix_runs(docs: DataFrame, schema: str, emit) -> DataFrame:
+    """emit(start of the run, its windows, the document's words) for each run of windows with one of the wanted prefixes.
+
+    docs: doc_id, content, _text, _prefixes. emit gives a row's values after
+    doc_id, content, prefix and start.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for batch in batches:
-            wanted = batch.column(2).to_pylist()
-            keys, prefix, first, parts, ends = [], [], [], [], [0]
-            for rows, split, starts, hashes in _chunks(batch.column(1).to_pylist(), known):
+            wanted = batch.column(3).to_pylist()
+            keys, made = [], []
+            for rows, split, starts, hashes in _chunks(batch.column(2).to_pylist(), known):
                 if len(hashes) < WINDOW:
                     continue
-                least, window = _windows(hashes)
-                least, window = least.view(np.int64), window.view(np.int64)
+                least = sliding_least(window_hashes(hashes, PREFIX), WINDOW - PREFIX + 1).view(np.int64)
                 for k, row in enumerate(rows):
                     if len(split[k]) < WINDOW:
                         continue
                     own = least[starts[k] : starts[k + 1] - WINDOW + 1]
-                    there = window[starts[k] : starts[k + 1] - WINDOW + 1]
                     edges = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
                     heads = own[edges[:-1]]
-                    for r in np.flatnonzero(np.isin(heads, np.array(wanted[row], np.int64))):
+                    for r in np.flatnonzero(np.isin(heads, np.array(wanted[row], np.int64))).tolist():
                         keys.append(row)
-                        prefix.append(heads[r])
-                        first.append(edges[r])
-                        parts.append(there[edges[r] : edges[r + 1]])
-                        ends.append(ends[-1] + len(parts[-1]))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(np.array(prefix, np.int64)), pa.array(np.array(first, np.int64)), lists], names=["doc_id", "prefix", "start", "windows"])
-
-    return docs.mapInArrow(run, f"doc_id {kind}, prefix bigint, start bigint, windows array<bigint>")
-
-
-def _runs(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, stop) of the words under windows at these places, overlapping ones merged."""
-    if not len(doc):
-        return doc, place, place
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + WINDOW)])
+                        made.append((int(heads[r]), int(edges[r]), *emit(int(edges[r]), int(edges[r + 1] - edges[r]), split[k])))
+                if len(made) >= 2000:
+                    yield from _table(batch, keys, made, fields)
+                    keys, made = [], []
+            yield from _table(batch, keys, made, fields)
+
+    fields = schema.split(", ")
+    return docs.mapInArrow(run, f"doc_id {kind}, content bigint, prefix bigint, start bigint, {schema}")
+
+
+_KINDS = {"int": pa.int32(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
+
+
+def _table(batch: pa.RecordBatch, keys: list[int], made: list[tuple], fields: list[str]) -> Iterator[pa.RecordBatch]:
+    columns = list(zip(*made, strict=True)) or [[]] * (2 + len(fields))
+    kinds = [pa.int64(), pa.int64(), *[_KINDS[f.split()[1]] for f in fields]]
+    arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(keys, pa.int64())) for k in (0, 1)], *arrays], names=["doc_id", "content", "prefix", "start", *[f.split()[0] for f in fields]])
+
+
+def suffixes(docs: DataFrame) -> DataFrame:
+    """doc_id, content, prefix, start, n, words: the words of each run of n windows with one of the wanted prefixes.
+
+    Its windows are n suffixes, cut at the depth that matters.
+    """
+    return _prefix_runs(docs, "n int, words binary", lambda at, n, ws: (n, b" ".join(ws[at : at + n + WINDOW - 1])))
+
+
+def prolonged(docs: DataFrame) -> DataFrame:
+    """doc_id, content, prefix, start, windows: the 128-bit digests of the words of each of a run's windows."""
+
+    def digests(at: int, n: int, ws: list[bytes]) -> tuple[list[bytes]]:
+        return ([xxhash.xxh3_128_digest(b" ".join(ws[k : k + WINDOW])) for k in range(at, at + n)],)
+
+    return _prefix_runs(docs, "windows array<binary>", digests)
+
+
+def _runs(doc: np.ndarray, content: np.ndarray, place: np.ndarray) -> pa.Table:
+    """doc_id, content, start, stop of the words under windows at these places, overlapping ones merged."""
+    order = np.lexsort((place, content, doc))
+    doc, content, place = doc[order], content[order], place[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (content[1:] != content[:-1]) | (place[1:] > place[:-1] + WINDOW)])[: len(doc)]
     at = np.flatnonzero(new)
-    last = np.concatenate([at[1:] - 1, [len(doc) - 1]])
-    return doc[at], place[at], place[last] + WINDOW
+    last = np.concatenate([at[1:], [len(doc)]])[: len(at)] - 1
+    return pa.table({"doc_id": pa.array(doc[at], pa.int64()), "content": pa.array(content[at], pa.int64()), "start": pa.array(place[at], pa.int64()), "stop": pa.array(place[last] + WINDOW, pa.int64())})
+
+
+def suffix_ranks(ids: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of each suffix among all by its first depth words, equal ones with equal ranks; ids by their words' order.
+
+    By doubling: the ranks of two halves, one behind the other, give those of
+    the whole. Places less than depth from the end are left out.
+    """
+    width, now = 1, ids.astype(np.int64)
+    while width < depth:
+        step = min(width, depth - width)
+        pairs = now[:-step] * np.int64(len(ids) + 1) + now[step:]
+        now = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
+        width += step
+    return now
 
 
 def subtree(group: pa.Table) -> pa.Table:
     """Covered runs of the suffixes of one group of prefixes.
 
-    Sorting the suffixes by their first WINDOW words gives the tree's leaves in
-    order; neighbours that agree hang under one internal node of that depth,
-    which is a maximal repeat's node or lies above one. The node's smallest
-    document keeps the words, all others give them up.
+    The suffixes are sorted by their words, down to WINDOW of them, which gives
+    the tree's leaves in order; those of equal rank hang under one internal
+    node of that depth, which is a maximal repeat's node or lies above one. The
+    node's smallest document keeps the words, all others give them up.
     """
-    windows = group.column("windows").combine_chunks()
-    sizes = np.diff(windows.offsets.to_numpy())
-    h = windows.values.to_numpy()[windows.offsets[0].as_py() : windows.offsets[-1].as_py()]
-    doc = np.repeat(group.column("doc_id").to_numpy(), sizes)
-    inside = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    if not group.num_rows:
+        return _runs(*[np.zeros(0, np.int64)] * 3)
+    split = [x.split(b" ") for x in group.column("words").to_pylist()]
+    sizes = group.column("n").to_numpy().astype(np.int64)
+    flat = list(itertools.chain.from_iterable(split))
+    order = {w: k for k, w in enumerate(sorted(set(flat)))}
+    ids = np.fromiter(map(order.__getitem__, flat), np.int64, len(flat))
+    del flat, order
+    ranks = suffix_ranks(ids, WINDOW)
+    inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    bases = np.cumsum([0, *map(len, split[:-1])])
+    doc, content = (np.repeat(group.column(c).to_numpy(), sizes) for c in ("doc_id", "content"))
     place = np.repeat(group.column("start").to_numpy(), sizes) + inside
-    order = np.lexsort((doc, h))
-    h, doc, place = h[order], doc[order], place[order]
-    node = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])).astype(np.int64) if len(h) else h
-    first = doc[np.searchsorted(node, np.arange(node[-1] + 1))] if len(h) else doc
-    again = doc > first[node] if len(h) else np.zeros(0, bool)
-    d, start, stop = _runs(doc[again], place[again])
-    return pa.table({"doc_id": pa.array(d, pa.int64()), "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64())})
+    node = ranks[np.repeat(bases, sizes) + inside]
+    leaves = np.lexsort((doc, node))
+    doc, content, place, node = doc[leaves], content[leaves], place[leaves], node[leaves]
+    new = np.concatenate([[True], node[1:] != node[:-1]])
+    first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    again = doc > first
+    return _runs(doc[again], content[again], place[again])
 
 
 def cut_out(rows: DataFrame) -> DataFrame:
-    """Of rows doc_id, _text, _spans (arrays of start, stop): doc_id, n_removed, kept_sha256, kept_text."""
+    """Of rows doc_id, content, _text, _spans (arrays of start, stop): doc_id, content, n_removed, kept_sha256, kept_text."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, shas, texts = [], [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 ws = text.split()
                 stay = bytearray(b"\x01") * len(ws)
                 for s in spans:
@@ -177,34 +225,35 @@ def cut_out(rows: DataFrame) -> DataFrame:
                 removed.append(len(ws) - sum(stay))
                 shas.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "content", "n_removed", "kept_sha256", "kept_text"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_removed bigint, kept_sha256 string, kept_text string")
+    return rows.mapInArrow(run, f"doc_id {kind}, content bigint, n_removed bigint, kept_sha256 string, kept_text string")
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(outline with column rep, spans by doc_id) of rows doc_id, _text; see remove_repeats()."""
+    """(outline with column rep, spans by doc_id and content) of rows doc_id, content, _text; see remove_repeats()."""
     rows = scratch.cut(outline(docs), "outline")
-    reps = rows.where("doc_id is not null").groupBy(F.col("fp1").alias("_f1"), F.col("fp2").alias("_f2")).agg(F.min("doc_id").alias("rep"))
-    known = scratch.cut(rows.join(reps, (F.col("fp1") == F.col("_f1")) & (F.col("fp2") == F.col("_f2")) & F.col("doc_id").isNotNull(), "left").drop("_f1", "_f2", "fp1", "fp2"), "known")
-    held = known.where("doc_id = rep").select("doc_id", F.explode("prefixes").alias("prefix")).distinct()
-    counted = held.groupBy(F.col("prefix").alias("_prefix")).agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"), F.count("*").alias("_docs")).where("_lo < _hi")
-    counted = scratch.cut(counted.select("_prefix", (F.col("_docs") > HOT_DOCS).alias("_hot")), "prefixes")
-    wanted = held.join(counted, F.col("prefix") == F.col("_prefix")).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("prefix").alias("_prefixes"))
-    texts = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc")).select("doc_id", "_text", "_prefixes")
-    found = scratch.cut(suffixes(texts), "suffixes")
-    total = found.agg(F.sum(F.size("windows"))).first()[0] or 0
-    trees = max(1, math.ceil(total / TREE_SUFFIXES))
-    hot = counted.where("_hot").select("_prefix")
-    small = found.join(hot, F.col("prefix") == F.col("_prefix"), "left_anti").withColumn("_tree", F.pmod(F.xxhash64("prefix"), F.lit(trees)))
-    spans = small.select("_tree", F.col("doc_id").cast("bigint").alias("doc_id"), "start", "windows").groupBy("_tree").applyInArrow(subtree, "doc_id bigint, start bigint, stop bigint")
-    # Under a hot prefix the suffixes are split by the whole window: counted map-side, joined back in parts.
-    wide = found.join(hot, F.col("prefix") == F.col("_prefix"), "left_semi").select("doc_id", F.posexplode("windows").alias("_k", "window"), "start")
-    wide = wide.select("doc_id", "window", (F.col("start") + F.col("_k")).alias("place"))
-    first = wide.groupBy(F.col("window").alias("_w")).agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last")
-    again = wide.join(first, F.col("window") == F.col("_w")).where("doc_id > _first")
-    spans = spans.union(again.select(F.col("doc_id").cast("bigint"), F.col("place").alias("start"), (F.col("place") + WINDOW).alias("stop")))
-    by_doc = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_spans"))
+    known = scratch.cut(least_of_group(rows, ["fp1", "fp2"], F.col("doc_id"), F.col("doc_id"), "rep").drop("fp1", "fp2"), "known")
+    held = known.where("doc_id = rep").select("doc_id", "content", F.explode("prefixes").alias("x")).select("doc_id", "content", "x.prefix", "x.n")
+    counted = held.groupBy(F.col("prefix").alias("_prefix")).agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"), F.sum("n").alias("_n")).where("_lo < _hi")
+    counted = scratch.cut(counted.select("_prefix", "_n", (F.col("_n") > HOT_SUFFIXES).alias("_hot")), "prefixes")
+    wanted = scratch.cut(held.join(counted, F.col("prefix") == F.col("_prefix")).groupBy(F.col("doc_id").alias("_doc"), F.col("content").alias("_of"), "_hot").agg(F.collect_set("prefix").alias("_prefixes")), "wanted")
+
+    def texts(hot: bool) -> DataFrame:
+        some = wanted.where(F.col("_hot") == hot).drop("_hot")
+        return docs.join(some.hint("shuffle_hash"), (F.col("doc_id") == F.col("_doc")) & (F.col("content") == F.col("_of"))).select("doc_id", "content", "_text", "_prefixes")
+
+    cold, hot = (counted.agg(*[F.sum(F.when(F.col("_hot") == h, F.col("_n"))).alias(f"n{h}") for h in (False, True)]).first())
+    trees = max(1, math.ceil((cold or 0) / TREE_SUFFIXES))
+    small = suffixes(texts(False)).withColumn("_tree", F.pmod(F.xxhash64("prefix"), F.lit(trees)))
+    spans = small.select("_tree", F.col("doc_id").cast("bigint").alias("doc_id"), "content", "start", "n", "words").groupBy("_tree").applyInArrow(subtree, "doc_id bigint, content bigint, start bigint, stop bigint")
+    if hot:
+        # Under a hot prefix the suffixes are split by the whole window: the least document of each is found in cells.
+        wide = prolonged(texts(True)).select("doc_id", "content", F.posexplode("windows").alias("_k", "window"), "start")
+        wide = scratch.cut(wide.select("doc_id", "content", "window", (F.col("start") + F.col("_k")).alias("place")), "windows")
+        again = least_of_group(wide, ["window"], F.col("doc_id"), F.col("doc_id"), "_first").where("doc_id > _first")
+        spans = spans.union(again.select(F.col("doc_id").cast("bigint"), "content", F.col("place").alias("start"), (F.col("place") + WINDOW).alias("stop")))
+    by_doc = spans.groupBy(F.col("doc_id").alias("_doc"), F.col("content").alias("_of")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_spans"))
     return known, scratch.cut(by_doc, "spans")
 
 
@@ -214,25 +263,28 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A word goes if a window of 50 words over it also starts in a document of a
     smaller id; windows are judged on the input. Ids must be integers. Null and
     blank texts have no words; texts under 50 words stay. Rows that repeat an
-    id are taken as one document and each give a row; rows with a null id
-    neither lose nor take words. Other columns of docs are ignored.
+    id each give a row by their own text, and take no words from each other;
+    rows with a null id neither lose nor take words. Other columns of docs are ignored.
 
     Suffixes are split by variable-length prefixes. Every window of 50 words
     has one prefix: the least hash among its 8-word runs, so equal windows
-    share it. Prefixes of one document only have no internal node and are
-    dropped before any suffix is made; the others' suffixes go to trees of
-    about TREE_SUFFIXES, each built in one task; a prefix that more than
-    HOT_DOCS documents have is prolonged to the whole window and its nodes are
-    found by counting. Exact copies of a document's words are settled by their
-    digest beforehand.
+    share it, and it decides nothing but where a suffix goes. Prefixes of one
+    document only have no internal node and are dropped before any suffix is
+    made. The others' suffixes go, as runs of words, to trees of about
+    TREE_SUFFIXES, each built in one task by sorting them by their words; a
+    prefix of more than HOT_SUFFIXES suffixes is prolonged to the whole window,
+    named by 128 bits, and its nodes are found by counting, in cells. Exact
+    copies of a document's words are settled by 128 bits of their SHA-256
+    beforehand.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("content"), text.cast("binary").alias("_text"))
     with Scratch(docs.sparkSession) as scratch:
         known, spans = repeated_spans(source, scratch)
-        texts = source.join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc")).select("doc_id", "_text", "_spans")
+        texts = source.join(spans.hint("shuffle_hash"), (F.col("doc_id") == F.col("_doc")) & (F.col("content") == F.col("_of"))).select("doc_id", "content", "_text", "_spans")
         made = cut_out(texts)
-        made = scratch.cut((made if with_text else made.drop("kept_text")).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_doc"), "made")
-        joined = known.drop("prefixes").join(made, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+        made = scratch.cut((made if with_text else made.drop("kept_text")).dropDuplicates(["doc_id", "content"]).withColumnsRenamed({"doc_id": "_doc", "content": "_of"}), "made")
+        joined = known.drop("prefixes").join(made, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("content") == F.col("_of")), "left")
         copy = F.coalesce((F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= WINDOW), F.lit(False))
         out = [
             F.col("doc_id").alias(id_col),
@@ -242,6 +294,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         ]
         if not with_text:
             return scratch.keep(joined.select(*out))
-        own = source.select(F.col("doc_id").alias("_id"), F.array_join(F.filter(F.split(F.translate(F.col("_text").cast("string"), "\t\n\x0b\x0c\r", "     "), " "), lambda x: x != ""), " ").alias("_own")).dropDuplicates(["_id"])
-        joined = joined.join(own, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+        own = source.select(F.col("doc_id").alias("_id"), F.col("content").alias("_own_of"), F.array_join(F.filter(F.split(F.translate(F.col("_text").cast("string"), "\t\n\x0b\x0c\r", "     "), " "), lambda x: x != ""), " ").alias("_own")).dropDuplicates(["_id", "_own_of"])
+        joined = joined.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_own_of")), "left")
         return scratch.keep(joined.select(*out, F.when(copy, F.lit("")).otherwise(F.coalesce("kept_text", "_own")).alias("kept_text")))
