@@ -94,3 +94,27 @@ def check_packing(rows, placed, encode, size=2048):
             at += length
         assert at <= size
     return len(sequences), -(-total // size)
+
+
+def leaks(rows, items, s):
+    """{(doc_id, item_id)} by holding every passage of every document against every item, without any retrieval."""
+    from textloom.llm import decontaminate as d
+
+    found = set()
+    wanted = {i: (d.terms_of(t), d.answer_of(t)) for i, t in items if d.terms_of(t)}
+    numbers = {w: k for k, w in enumerate(sorted({w for ws, _ in wanted.values() for w in ws}))}
+    coded = {i: [np.array([numbers[w] for w in x]) for x in pair] for i, pair in wanted.items()}
+    bags = {i: Counter(x.tolist()) for i, (x, _) in coded.items()}
+    for doc, text in rows:
+        ids = np.array([numbers.get(w, -1) for w in d.terms_of(text)], np.int64)
+        for i, (item, answer) in coded.items():
+            reach = len(item) // 2
+            for at in range(0, len(ids), s.step):
+                region = ids[max(0, at - reach) : at + s.window + reach]
+                if sum((bags[i] & Counter(region.tolist())).values()) < s.paraphrase * len(item):
+                    continue
+                shared = d.common_subsequence(item, region) / len(item)
+                if shared >= s.subsequence or (shared >= s.paraphrase and d.common_subsequence(answer, region) / len(answer) >= s.answer):
+                    found.add((doc, i))
+                    break
+    return found

@@ -114,6 +114,31 @@ def test_common_subsequence():
         assert decontaminate.common_subsequence(np.array(a), np.array(b)) == plain(a, b)
 
 
+def test_the_latent_basis_is_that_of_an_svd(spark):
+    """Against numpy's SVD of the whole matrix, which has a few strong dimensions."""
+    r = np.random.default_rng(3)
+    topics = [r.permutation(60)[:12] for _ in range(6)]
+    rows, dense = [], []
+    s = decontaminate.Settings(rank=6, spare=6, window=32)
+    weight = 1.0 + r.random(60)
+    for k in range(150):
+        ids = r.choice(topics[k % 6], 32)
+        rows.append((ids.tolist(),))
+        dense.append(np.bincount(ids, minlength=60) * weight)
+    a = np.array(dense)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    items = [r.choice(topics[k], 20).astype(np.int32) for k in range(6)]
+    b = np.array([np.bincount(x, minlength=60) * weight for x in items])
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    whole = np.concatenate([a / np.sqrt(150), b / np.sqrt(6)])
+    best = np.linalg.svd(whole)[2][:6]
+    got = decontaminate.latent_basis(spark.createDataFrame(rows, "terms array<int>"), lambda: iter([items]), weight, 150, s)
+    assert got.shape == (60, 6)
+    assert np.abs(got.T @ got - np.eye(6)).max() < 1e-4
+    lost = lambda v: np.linalg.norm(whole - whole @ v @ v.T)
+    assert lost(got) < 1.02 * lost(best.T)
+
+
 def test_plans_place_every_piece_once():
     r = np.random.default_rng(5)
     for size, n in ((16, 50), (64, 5000), (2048, 20_000), (2048, 3)):

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 from tests.llm import brute
 from tests.oracle import compare
 from textloom.llm import decontaminate
+from textloom.llm.common import Scratch
 from textloom.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -77,6 +78,27 @@ def test_leaks_are_the_documents_with_benchmark_text(spark, documents):
     assert want == {(r.doc_id, r.item_id) for r in QUERIES["op8_decontaminate"](spark, SF).collect()}
 
 
+def test_leaks_match_all_passages_held_against_all_items(spark, documents):
+    """The benchmark's items, and copies of them with every fifth or every third word changed in a text of their own."""
+    items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
+    fillers = [t for _, t in documents if t and len(t.split()) > 60]
+    rows = list(documents)
+    for k, (_, t) in enumerate(items):
+        for every in (5, 3):
+            ws = [w if (j + 1) % every or j > 0.7 * len(t.split()) else "changed" for j, w in enumerate(t.split())]
+            rows.append((1_000_000 + 10 * k + every, " ".join(fillers[k % len(fillers)].split()[:60] + ws + fillers[-1 - k % len(fillers)].split()[:40])))
+    settings = decontaminate.Settings()
+    want = brute.leaks(rows, items, settings)
+    assert sum(d >= 1_000_000 for d, _ in want) >= 0.9 * 2 * len(items)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    with Scratch(spark) as scratch:
+        got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string"), scratch, settings=settings).collect()}
+        small = decontaminate.Settings(block=7)
+        assert got == {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string"), scratch, settings=small).collect()}
+    assert len(got & want) >= 0.95 * len(want)
+    assert not got - want
+
+
 def test_repeated_windows_match_all_windows(spark, documents):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in QUERIES["op9_substring_dedup"](spark, SF).collect()}
     assert got == brute.repeats(documents)

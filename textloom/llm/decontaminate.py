@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,6 +35,9 @@ class Settings:
     paraphrase: float = 0.55  # least share if the answer is there too
     answer: float = 0.8  # least share of the answer's words, in order
     block: int = 2000  # benchmark items searched at a time
+    spare: int = 8  # dimensions that the sketch has besides, before the truncation
+    least: float = 1e-3  # share of the largest singular value under which a dimension goes
+    vocabulary_bytes: int = 256_000_000  # of the benchmark's terms, which are broadcast; more is an error
 
 
 class Terms(dict):
@@ -192,6 +195,76 @@ def sketch(rows: DataFrame, weight, test, window: int) -> DataFrame:
     return parts.groupBy("term").agg(F.array(*[F.sum(F.col("v")[k]) for k in range(rank)]).alias("v"))
 
 
+def latent_gram(rows: DataFrame, weight, basis, window: int) -> DataFrame:
+    """at and v: the entries of (A basis)' (A basis), row by row, for the passages' TF-IDF matrix A of all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, right = weight.value, basis.value
+        out = np.zeros((right.shape[1], right.shape[1]))
+        for batch in batches:
+            for _, starts, terms in _chunks(batch):
+                z = _times(*_vectors(_blocks(starts, window)[0], terms, w), right)[1].astype(np.float64)
+                out += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size, dtype=np.int32)), pa.array(out.ravel())], names=["at", "v"])
+
+    return rows.select("terms").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v"))
+
+
+def latent_basis(rows: DataFrame, own: Callable[[], Iterable[list[np.ndarray]]], weight: np.ndarray, passages: int, s: Settings) -> np.ndarray:
+    """The right singular vectors of the TF-IDF matrix by a randomised SVD in two passes over all documents.
+
+    The matrix has the passages of rows and the items of own() (blocks of term
+    arrays), both weighing as much. Its product with a test matrix gives a range of
+    s.rank + s.spare dimensions; the small matrix of the second product gives
+    the singular values and vectors within it, of which s.rank at most stay.
+    What comes to the driver is bounded by terms x dimensions.
+    """
+    spark = rows.sparkSession
+    n = len(weight)
+    width = min(s.rank + s.spare, n)
+    entries = [_vectors(np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.concatenate(xs), weight) for xs in own()]
+    items = sum(len(xs) for xs in own()) or 1
+    test = np.random.default_rng(7).standard_normal((n, width)).astype(np.float32)
+    y = np.zeros((n, width))
+    for b, t, w in entries:
+        _gram(b, t, w, test, y)
+    y /= items
+    sent = [spark.sparkContext.broadcast(weight), spark.sparkContext.broadcast(test)]
+    for r in sketch(rows, *sent, s.window).toLocalIterator():
+        y[r["term"]] += np.array(r["v"]) / passages
+    span = np.linalg.qr(y)[0].astype(np.float32)
+    sent.append(spark.sparkContext.broadcast(span))
+    gram = np.zeros(width * width)
+    for r in latent_gram(rows, sent[0], sent[2], s.window).toLocalIterator():
+        gram[r["at"]] = r["v"] / passages
+    gram = gram.reshape(width, width)
+    for b, t, w in entries:
+        z = _times(b, t, w, span)[1].astype(np.float64)
+        gram += z.T @ z / items
+    for x in sent:
+        x.destroy()
+    values, vectors = np.linalg.eigh(gram)
+    order = np.argsort(-values)[: s.rank]
+    singular = np.sqrt(np.maximum(values[order], 0.0))
+    order = order[singular >= s.least * max(singular[0], 1e-30)]
+    return (span @ vectors[:, order]).astype(np.float32)
+
+
+def benchmark_terms(items: DataFrame, limit: int) -> dict[str, int]:
+    """The number of each term of all items; an error if they have more than limit bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {t for text in batch.column(0).to_pylist() for t in terms_of(text)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["term"])
+
+    terms = items.select("text").mapInArrow(run, "term string").distinct()
+    held = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    if held > limit:
+        raise ValueError(f"the benchmark's terms take {held} bytes to broadcast, more than vocabulary_bytes: search it in parts")
+    return {r["term"]: k for k, r in enumerate(terms.orderBy("term").toLocalIterator())}
+
+
 @dataclass
 class Model:
     """What a search needs: weights, the latent basis, and the items' terms, answers and latent rows."""
@@ -208,7 +281,7 @@ class Model:
         self.seeds = seeds_of(self.items, self.settings.seed)
 
 
-def term_weights(df: np.ndarray, passages: int, items: list[np.ndarray], s: Settings) -> np.ndarray:
+def term_weights(df: np.ndarray, passages: int, items: Iterable[np.ndarray], s: Settings) -> np.ndarray:
     """Each term's inverse document frequency; 0 if it is common, unless an item would be left without telling words.
 
     Such items have enough words in the corpus to be found there, but fewer
@@ -350,66 +423,66 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, id_co
 
     Passages are windows of a document's words, over the terms of the
     benchmark. Their TF-IDF matrix is never built: a randomised SVD takes its
-    product with a test matrix in one pass over all documents, the benchmark's
-    own rows weighing as much as the corpus, and an orthonormal basis of the
-    product is the latent space. Terms are counted over different texts, so
-    copies make none common. Each passage whose cosine with an item reaches the
-    limit, or that has settings.seed words of it in a row (a shorter item: all),
-    whatever their weights, is held against it: the longest common subsequence
-    of words, and for paraphrases that of the item's last sentence.
+    products in two passes over all documents' terms, the benchmark's own rows
+    weighing as much as the corpus, and the right singular vectors are the
+    latent space. Terms are counted over different texts, so copies make none
+    common. Each passage whose cosine with an item reaches the limit, or that
+    has settings.seed words of it in a row (a shorter item: all), whatever
+    their weights, is held against it: the longest common subsequence of words,
+    and for paraphrases that of the item's last sentence.
 
     Null and blank texts and items without a term match nothing; rows that
     repeat an id give their rows once; rows with a null id are searched and
-    returned like others. Other columns are ignored. Items are searched in
-    blocks of settings.block, so what is broadcast (terms, basis, items) is
-    bounded by a block's words whatever the benchmark's size; words that no
-    item has don't leave the first pass.
+    returned like others. Other columns are ignored. Terms, weights and basis
+    are those of all items, so what is found doesn't depend on a block; items
+    are held against the corpus in blocks of settings.block, which bounds what
+    is broadcast besides the terms, whose bytes are checked. Words that no item
+    has don't leave the first pass.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).distinct()
+    kinds = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}"
+    vocabulary = benchmark_terms(items, settings.vocabulary_bytes)
+    if not vocabulary:
+        return spark.createDataFrame([], f"{kinds}, cosine double, shared double, answer double")
+    number = lambda ts: np.array([vocabulary[t] for t in ts], np.int32)
+
+    def blocks() -> Iterator[list]:
+        """Rows of items that have a term, settings.block at a time."""
+        stream = (r for r in items.orderBy("item_id", "text").toLocalIterator() if terms_of(r["text"]))
+        while batch := list(itertools.islice(stream, settings.block)):
+            yield batch
+
+    def own() -> Iterator[list[np.ndarray]]:
+        for batch in blocks():
+            yield [number(terms_of(r["text"])) for r in batch]
+
+    sent = spark.sparkContext.broadcast(vocabulary)
+    rows = scratch.cut(term_numbers(source, sent), "terms")
+    sent.destroy()
+    n = len(vocabulary)
+    df, passages = np.zeros(n), 1
+    for r in passage_counts(rows.select("terms").distinct(), n, settings.window).toLocalIterator():
+        if r["term"] < 0:
+            passages = r["n"]
+        else:
+            df[r["term"]] = r["n"]
+    weight = term_weights(df, passages, itertools.chain.from_iterable(own()), settings)
+    basis = latent_basis(rows, own, weight, passages, settings)
     found = None
-    stream = items.orderBy("item_id", "text").toLocalIterator()
-    while batch := [r for r in itertools.islice(stream, settings.block)]:
-        batch = [r for r in batch if terms_of(r["text"])]
-        if not batch:
-            continue
-        vocabulary = {t: k for k, t in enumerate(sorted({t for r in batch for t in terms_of(r["text"])}))}
-        n = len(vocabulary)
-        sent = spark.sparkContext.broadcast(vocabulary)
-        rows = scratch.cut(term_numbers(source, sent), "terms")
-        df = np.zeros(n)
-        passages = 1
-        for r in passage_counts(rows.select("terms").distinct(), n, settings.window).toLocalIterator():
-            if r["term"] < 0:
-                passages = r["n"]
-            else:
-                df[r["term"]] = r["n"]
-        number = lambda ts: np.array([vocabulary[t] for t in ts], np.int32)
-        own = [number(terms_of(r["text"])) for r in batch]
-        weight = term_weights(df, passages, own, settings)
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-        b, t, w = _vectors(np.repeat(np.arange(len(own)), np.diff(starts)), np.concatenate(own), weight)
-        rank = min(settings.rank, n)
-        test = np.random.default_rng(7).standard_normal((n, rank)).astype(np.float32)
-        y = np.zeros((n, rank))
-        _gram(b, t, w, test, y)
-        y /= len(own)
-        for r in sketch(rows, spark.sparkContext.broadcast(weight), spark.sparkContext.broadcast(test), settings.window).toLocalIterator():
-            y[r["term"]] += np.array(r["v"]) / passages
-        basis = np.linalg.qr(y)[0].astype(np.float32)
-        there, z = _times(b, t, w, basis)
-        latent = np.zeros((len(own), rank), np.float32)
+    for batch in blocks():
+        terms = [number(terms_of(r["text"])) for r in batch]
+        there, z = _times(*_vectors(np.repeat(np.arange(len(terms)), [len(x) for x in terms]), np.concatenate(terms), weight), basis)
+        latent = np.zeros((len(terms), basis.shape[1]), np.float32)
         latent[there] = _unit(z)
-        model = Model(weight, basis, own, [number(answer_of(r["text"])) for r in batch], latent, settings)
-        hits = search(rows, spark.sparkContext.broadcast(model))
+        model = spark.sparkContext.broadcast(Model(weight, basis, terms, [number(answer_of(r["text"])) for r in batch], latent, settings))
+        hits = search(rows, model)
         names = spark.createDataFrame([(k, r["item_id"]) for k, r in enumerate(batch)], f"_item int, item_id {items.schema['item_id'].dataType.simpleString()}")
         named = hits.join(names, hits["item"] == names["_item"]).groupBy("doc_id", "item_id").agg(F.max(F.struct("shared", "cosine", "answer")).alias("_best"))
         part = scratch.cut(named.select("doc_id", "item_id", "_best.cosine", "_best.shared", "_best.answer"), "leaks")
+        model.destroy()
         found = part if found is None else found.union(part)
-    if found is None:
-        kinds = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}"
-        found = spark.createDataFrame([], f"{kinds}, cosine double, shared double, answer double")
     return found
 
 
