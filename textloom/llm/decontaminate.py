@@ -195,59 +195,39 @@ def sketch(rows: DataFrame, weight, test, window: int) -> DataFrame:
     return parts.groupBy("term").agg(F.array(*[F.sum(F.col("v")[k]) for k in range(rank)]).alias("v"))
 
 
-def latent_gram(rows: DataFrame, weight, basis, window: int) -> DataFrame:
-    """at and v: the entries of (A basis)' (A basis), row by row, for the passages' TF-IDF matrix A of all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, right = weight.value, basis.value
-        out = np.zeros((right.shape[1], right.shape[1]))
-        for batch in batches:
-            for _, starts, terms in _chunks(batch):
-                z = _times(*_vectors(_blocks(starts, window)[0], terms, w), right)[1].astype(np.float64)
-                out += z.T @ z
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size, dtype=np.int32)), pa.array(out.ravel())], names=["at", "v"])
-
-    return rows.select("terms").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v"))
-
-
 def latent_basis(rows: DataFrame, own: Callable[[], Iterable[list[np.ndarray]]], weight: np.ndarray, passages: int, s: Settings) -> np.ndarray:
-    """The right singular vectors of the TF-IDF matrix by a randomised SVD in two passes over all documents.
+    """The right singular vectors of the TF-IDF matrix A by a randomised SVD in one pass over all documents.
 
     The matrix has the passages of rows and the items of own() (blocks of term
-    arrays), both weighing as much. Its product with a test matrix gives a range of
-    s.rank + s.spare dimensions; the small matrix of the second product gives
-    the singular values and vectors within it, of which s.rank at most stay.
-    What comes to the driver is bounded by terms x dimensions.
+    arrays), both weighing as much. One pass takes A'A times an orthonormal
+    test matrix of s.rank + s.spare columns; the Nystrom form of that product,
+    shifted a little so that it is surely positive, gives the singular values
+    and vectors of A, of which the s.rank largest stay, less those under
+    s.least of the first. What comes to the driver is bounded by terms x
+    dimensions.
     """
     spark = rows.sparkSession
     n = len(weight)
     width = min(s.rank + s.spare, n)
-    entries = [_vectors(np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.concatenate(xs), weight) for xs in own()]
-    items = sum(len(xs) for xs in own()) or 1
-    test = np.random.default_rng(7).standard_normal((n, width)).astype(np.float32)
-    y = np.zeros((n, width))
-    for b, t, w in entries:
-        _gram(b, t, w, test, y)
-    y /= items
+    test = np.linalg.qr(np.random.default_rng(7).standard_normal((n, width)))[0].astype(np.float32)
+    mine, items = np.zeros((n, width)), 0
+    for xs in own():
+        _gram(*_vectors(np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.concatenate(xs), weight), test, mine)
+        items += len(xs)
+    y = mine / max(items, 1)
     sent = [spark.sparkContext.broadcast(weight), spark.sparkContext.broadcast(test)]
-    for r in sketch(rows, *sent, s.window).toLocalIterator():
+    for r in sketch(rows, *sent, s.window).repartition(1).toLocalIterator():
         y[r["term"]] += np.array(r["v"]) / passages
-    span = np.linalg.qr(y)[0].astype(np.float32)
-    sent.append(spark.sparkContext.broadcast(span))
-    gram = np.zeros(width * width)
-    for r in latent_gram(rows, sent[0], sent[2], s.window).toLocalIterator():
-        gram[r["at"]] = r["v"] / passages
-    gram = gram.reshape(width, width)
-    for b, t, w in entries:
-        z = _times(b, t, w, span)[1].astype(np.float64)
-        gram += z.T @ z / items
     for x in sent:
         x.destroy()
-    values, vectors = np.linalg.eigh(gram)
-    order = np.argsort(-values)[: s.rank]
-    singular = np.sqrt(np.maximum(values[order], 0.0))
-    order = order[singular >= s.least * max(singular[0], 1e-30)]
-    return (span @ vectors[:, order]).astype(np.float32)
+    wide = test.astype(np.float64)
+    shift = 1e-6 * max(np.linalg.norm(y), 1e-30)  # above what single precision leaves
+    y += shift * wide
+    core = wide.T @ y
+    root = np.linalg.cholesky((core + core.T) / 2)
+    vectors, singular, _ = np.linalg.svd(np.linalg.solve(root, y.T).T, full_matrices=False)
+    singular = np.sqrt(np.maximum(singular**2 - shift, 0.0))[: s.rank]
+    return vectors[:, : s.rank][:, singular >= s.least * singular[0]].astype(np.float32)
 
 
 def benchmark_terms(items: DataFrame, limit: int) -> dict[str, int]:
@@ -262,7 +242,7 @@ def benchmark_terms(items: DataFrame, limit: int) -> dict[str, int]:
     held = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
     if held > limit:
         raise ValueError(f"the benchmark's terms take {held} bytes to broadcast, more than vocabulary_bytes: search it in parts")
-    return {r["term"]: k for k, r in enumerate(terms.orderBy("term").toLocalIterator())}
+    return {r["term"]: k for k, r in enumerate(terms.repartition(1).sortWithinPartitions("term").toLocalIterator())}
 
 
 @dataclass
@@ -423,7 +403,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, id_co
 
     Passages are windows of a document's words, over the terms of the
     benchmark. Their TF-IDF matrix is never built: a randomised SVD takes its
-    products in two passes over all documents' terms, the benchmark's own rows
+    product in one pass over all documents' terms, the benchmark's own rows
     weighing as much as the corpus, and the right singular vectors are the
     latent space. Terms are counted over different texts, so copies make none
     common. Each passage whose cosine with an item reaches the limit, or that
@@ -442,6 +422,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, id_co
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).distinct()
+    items = scratch.cut(items.repartition(1).sortWithinPartitions("item_id", "text"), "items")
     kinds = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}"
     vocabulary = benchmark_terms(items, settings.vocabulary_bytes)
     if not vocabulary:
@@ -450,7 +431,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, id_co
 
     def blocks() -> Iterator[list]:
         """Rows of items that have a term, settings.block at a time."""
-        stream = (r for r in items.orderBy("item_id", "text").toLocalIterator() if terms_of(r["text"]))
+        stream = (r for r in items.toLocalIterator() if terms_of(r["text"]))
         while batch := list(itertools.islice(stream, settings.block)):
             yield batch
 
@@ -463,7 +444,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, id_co
     sent.destroy()
     n = len(vocabulary)
     df, passages = np.zeros(n), 1
-    for r in passage_counts(rows.select("terms").distinct(), n, settings.window).toLocalIterator():
+    for r in passage_counts(rows.select("terms").distinct(), n, settings.window).repartition(1).toLocalIterator():
         if r["term"] < 0:
             passages = r["n"]
         else:
