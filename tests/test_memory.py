@@ -133,3 +133,40 @@ def test_command_line(spark, tmp_path, capsys):
     said = []
     cli.chat(Memory(spark, m), ["help", "stats", "search fox", "what?", "q", "never"], said.append)
     assert len(said) >= 4
+
+
+def test_a_crash_before_the_manifest_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "crash"))
+    rows = spark.createDataFrame([(1, "a")], "id bigint, text string")
+    store.write({"chunks": rows})
+
+    def crash(self, manifest):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_publish", crash)
+        with pytest.raises(OSError, match="lost"):
+            store.write({"chunks": rows.union(rows)})
+    assert store.read().count() == 1
+    assert store.write({"chunks": rows.union(rows)}) == 2
+    assert Store(spark, store.path).read().count() == 2
+
+
+def test_a_version_is_published_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "once"))
+    store.write({"chunks": spark.createDataFrame([(1, "a")], "id bigint, text string")})
+    with pytest.raises(StorageError):
+        store._publish({"version": 1})
+
+
+def test_streamed_documents_are_found(spark, tmp_path):
+    words = [f"subject{k} " * 30 for k in range(4)]
+    spark.createDataFrame(list(enumerate(words)), "doc_id bigint, text string").write.parquet(str(tmp_path / "in"))
+    memory = Memory(spark, str(tmp_path / "memory"))
+    stream = spark.readStream.schema("doc_id bigint, text string").parquet(str(tmp_path / "in"))
+    memory.append_stream(stream, str(tmp_path / "check")).awaitTermination()
+    memory.append_stream(stream, str(tmp_path / "check")).awaitTermination()
+    assert memory.chunks().count() == 4
+    found = memory.search(words[2].strip(), 1).first()
+    assert found["text"] == words[2].strip()
+    assert memory.decode_frame(found["frame"]).first()["text"] == words[2].strip()

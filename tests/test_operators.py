@@ -172,7 +172,7 @@ def test_answers(spark):
     assert made.startswith("Based on the knowledge base")
     assert "3. text 3" in made
     assert "4. text 4" not in made
-    assert rag.answer(rows.limit(0), "q") == rag.NOTHING
+    assert rag.answer(rows.limit(0), "q") == rag.EMPTY
     assert rag.answer(spark.createDataFrame([(1, "tiny")], "rank int, text string"), "q") == rag.NOTHING
     assert rag.answer(rows, "why", lambda p: p).startswith("Context from knowledge base:\n[Context]: text 1")
 
@@ -187,3 +187,54 @@ def test_frames(spark):
     assert store.read_frames(frames, 1, 3).count() == 3
     with pytest.raises(FrameError):
         store.read_frames(frames, 3, 1)
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_many_queries_find_what_each_finds(spark, metric):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in r.integers(-2, 3, 4)]) for k in range(300)] + [(400, None), (401, [0.0] * 4), (402, [float("nan")] * 4)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(5)
+    queries = df.where("vec_id % 40 = 1").withColumnRenamed("vec_id", "query_id")
+    got = {}
+    for x in search.knn(df, queries, 7, metric, digits=6).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.id, x.distance))
+    vectors = {k: v for k, v in rows if v and any(v)}
+    assert set(got) == {k for k, v in rows if k % 40 == 1 and v}
+    for q, found in got.items():
+        want = [(n + 1, x.id, x.distance) for n, x in enumerate(search.top_k(df, vectors.get(q, [0.0] * 4), 7, metric, digits=6).collect())]
+        assert [f[:2] for f in sorted(found)] == [w[:2] for w in want]
+        assert all(abs(f[2] - w[2]) < 1e-9 for f, w in zip(sorted(found), want, strict=True))
+
+
+def test_no_queries_and_unequal_dimensions(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id bigint, embedding array<float>")
+    assert search.knn(rows, queries.limit(0), 3).count() == 0
+    with pytest.raises(Exception, match="unequal dimension"):
+        search.knn(rows, queries, 3).collect()
+    with pytest.raises(SearchError):
+        search.upsert(rows, spark.createDataFrame([(2, [1.0])], rows.schema))
+
+
+def test_later_updates_count(spark):
+    chunks = spark.createDataFrame([(1, 0.5), (2, 0.5)], "id bigint, importance double")
+    updates = spark.createDataFrame([(1, 0.9, 1), (1, 0.2, 2), (3, 0.1, 1)], "id bigint, importance double, at int")
+    assert {r.id: r.importance for r in index.set_importance(chunks, updates, order_col="at").collect()} == {1: 0.2, 2: 0.5}
+    assert {r.id: r.importance for r in index.set_importance(chunks, updates).collect()} == {1: 0.9, 2: 0.5}
+
+
+def test_validated_rows(spark):
+    chunks = spark.createDataFrame([(4, "x", 0, 1, 0.5, ["t"])], "id bigint, text string, frame int, length int, importance double, tags array<string>")
+    new = spark.createDataFrame([(0, "a", 1, None, [1.0]), (1, " ", 1, 0.5, [1.0]), (2, "b", 1, 7.0, [1.0]), (3, "c", 1, 0.1, [1.0, 2.0]), (4, "d", 1, 0.2, None), (70_000, "e", 1, 0.3, [2.0])], "ord bigint, text string, frame int, importance double, embedding array<float>")
+    whole, rejected = index.add_validated(chunks, new, 1)
+    assert sorted((r.id, r.text) for r in whole.collect()) == [(4, "x"), (5, "a"), (6, "d"), (7, "e")]
+    assert {r.text: r.reason for r in rejected.collect()} == {" ": "no text", "b": "importance out of range", "c": "vector of another dimension"}
+
+
+def test_words_fold_as_told():
+    s = ChunkSettings(size=10, overlap=10, min_size=3, strategy=Strategy.TOKEN)
+    assert chunking.fold_words("aa bb  cc dd ee", s) == [("aa bb cc", 0, 8), ("cc dd ee", 7, 8)]
+    assert chunking.fold_words("", s) == []
+    assert chunking.fold_words("éé b", ChunkSettings(size=4, overlap=0, min_size=1, strategy=Strategy.TOKEN)) == [("éé", 0, 4), ("b", 5, 2)]

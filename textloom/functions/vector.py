@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -36,8 +37,18 @@ def norm(a: Column) -> Column:
 
 def cosine_similarity(a: Column, b: Column) -> Column:
     """0 where a vector has no length."""
-    size = norm(a) * norm(b)
-    return F.when(size == 0, F.lit(0.0)).otherwise(F.try_divide(dot(a, b), size))
+    return let(norm(a) * norm(b), lambda size: F.when(size == 0, F.lit(0.0)).otherwise(F.try_divide(dot(a, b), size)))
+
+
+def cosine_to(a: Column, query: Sequence[float]) -> Column:
+    """cosine_similarity() with a given vector, whose length is worked out beforehand."""
+    size = math.sqrt(sum(float(x) * float(x) for x in query))
+    return let(norm(a) * F.lit(size), lambda both: F.when(both == 0, F.lit(0.0)).otherwise(F.try_divide(dot(a, literal(query)), both)))
+
+
+def distance_to(a: Column, query: Sequence[float], metric: Metric = Metric.COSINE) -> Column:
+    """distance() to a given vector."""
+    return 1.0 - cosine_to(a, query) if metric is Metric.COSINE else distance(a, literal(query), metric)
 
 
 def distance(a: Column, b: Column, metric: Metric = Metric.COSINE) -> Column:

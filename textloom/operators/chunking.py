@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ChunkSettings, Strategy
 from ..errors import ConfigError
 from ..functions.text import clean
+from ..session import ship
 
 CHUNK = "array<struct<text:string,offset:int,length:int>>"
 
@@ -55,31 +57,41 @@ def paragraph_chunks(text: Column, s: ChunkSettings) -> Column:
     return _pack(parts, s, "\n\n")
 
 
+def fold_words(text: str, s: ChunkSettings) -> list[tuple[str, int, int]]:
+    """(text, offset, length) of the chunks of words packed greedily; see token_chunks()."""
+    again, done, cur, size, begin, seen = s.overlap // 10, [], [], 0, 0, 0
+    for word in text.split(" "):
+        if not word:
+            continue
+        n = len(word) if word.isascii() else len(word.encode())
+        if cur and size + 1 + n > s.size:
+            if size >= s.min_size:
+                done.append((" ".join(cur), begin, size))
+            tail = cur[-again:] if again else []
+            size = len(" ".join(tail).encode())
+            begin, cur = max(0, seen - size), tail
+        size += n + (1 if cur else 0)
+        cur.append(word)
+        seen += n + 1
+    if cur and size >= s.min_size:
+        done.append((" ".join(cur), begin, seen - begin))
+    return done
+
+
 def token_chunks(text: Column, s: ChunkSettings) -> Column:
     """Words packed greedily; a new chunk begins with the last overlap div 10 words of the one before.
 
-    The last chunk's length is what is left from its offset, by the running count.
+    The last chunk's length is what is left from its offset, by the running
+    count. An Arrow function: as a fold of expressions it copies the chunk with
+    every word.
     """
-    none = F.array().cast(CHUNK)
-    again = s.overlap // 10
-    start = F.struct(none.alias("done"), F.lit("").alias("cur"), F.lit(0).alias("co"), F.lit(0).alias("so"))
+    ship(SparkSession.active())
 
-    def step(a: Column, x: Column) -> Column:
-        full = (a["cur"] != "") & (_bytes(a["cur"]) + 1 + _bytes(x) > s.size)
-        chunk = F.struct(a["cur"].alias("text"), a["co"].alias("offset"), _bytes(a["cur"]).alias("length"))
-        emit = F.when(_bytes(a["cur"]) >= s.min_size, F.array(chunk)).otherwise(none)
-        words = F.split(a["cur"], " ")
-        k = F.least(F.lit(again), F.size(words))
-        tail = F.array_join(F.slice(words, -k, k), " ") if again else F.lit("")
-        fresh = F.when(tail == "", x).otherwise(F.concat(tail, F.lit(" "), x))
-        grown = F.when(a["cur"] == "", x).otherwise(F.concat(a["cur"], F.lit(" "), x))
-        return F.struct(F.when(full, F.concat(a["done"], emit)).otherwise(a["done"]).alias("done"), F.when(full, fresh).otherwise(grown).alias("cur"), F.when(full, F.greatest(F.lit(0), a["so"] - _bytes(tail))).otherwise(a["co"]).alias("co"), (a["so"] + _bytes(x) + 1).alias("so"))
-
-    def last(a: Column) -> Column:
-        chunk = F.struct(a["cur"].alias("text"), a["co"].alias("offset"), (a["so"] - a["co"]).alias("length"))
-        return F.when((a["cur"] != "") & (_bytes(a["cur"]) >= s.min_size), F.concat(a["done"], F.array(chunk))).otherwise(a["done"])
-
-    return F.aggregate(F.filter(F.split(text, " "), lambda x: x != ""), start, step, last).cast(CHUNK)
+    @F.pandas_udf(CHUNK)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"text": a, "offset": b, "length": c} for a, b, c in fold_words(t, s)], na_action="ignore")
+
+    return run(text)
 
 
 _MAKERS = {Strategy.CHARACTER: character_chunks, Strategy.SENTENCE: sentence_chunks, Strategy.PARAGRAPH: paragraph_chunks, Strategy.TOKEN: token_chunks}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import SearchError
@@ -28,11 +28,15 @@ def split_valid(new: DataFrame) -> tuple[DataFrame, DataFrame]:
     return new.where(~bad), new.where(bad)
 
 
-def set_importance(chunks: DataFrame, updates: DataFrame) -> DataFrame:
-    """chunks with updates' (id, importance); unknown ids add nothing, one value out of range fails the whole."""
+def set_importance(chunks: DataFrame, updates: DataFrame, *, order_col: str | None = None) -> DataFrame:
+    """chunks with updates' (id, importance); unknown ids add nothing, one value out of range fails the whole.
+
+    Of several updates of an id that of the largest order_col counts, the
+    larger value on a tie or where no order is given.
+    """
     if not updates.where(~F.col("importance").between(0.0, 1.0) | F.isnan("importance")).isEmpty():
         raise SearchError("importance must lie from 0 to 1")
-    new = updates.groupBy(F.col("id").alias("_id")).agg(F.last("importance").alias("_importance"))
+    new = updates.groupBy(F.col("id").alias("_id")).agg(F.max_by("importance", F.struct(*([order_col] if order_col else []), "importance")).alias("_importance"))
     return chunks.join(new, F.col("id") == F.col("_id"), "left").withColumn("importance", F.coalesce("_importance", "importance")).drop("_id", "_importance")
 
 
@@ -45,6 +49,44 @@ def set_metadata(chunks: DataFrame, chunk_id: int, metadata: dict[str, str]) ->
     return chunks.withColumn("metadata", F.when(here, made).otherwise(F.col("metadata"))).withColumn("updated_at", F.when(here, F.current_timestamp()).otherwise(F.col("updated_at")))
 
 
+def merge_metadata(chunks: DataFrame, updates: DataFrame) -> DataFrame:
+    """chunks with the maps of updates (id, metadata map) merged into theirs, an update's value in place of an older one.
+
+    Of several updates of an id each key takes its largest value; unknown ids
+    add nothing; updated_at is set where anything was merged.
+    """
+    flat = updates.select(F.col("id").alias("_id"), F.explode("metadata").alias("_k", "_v")).groupBy("_id", "_k").agg(F.max("_v").alias("_v"))
+    new = flat.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_new"))
+    old = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(old, lambda k, _: ~F.map_contains_key("_new", k))
+    joined = chunks.join(new, F.col("id") == F.col("_id"), "left")
+    there = F.col("_new").isNotNull()
+    merged = joined.withColumns({"metadata": F.when(there, F.map_concat(kept, "_new")).otherwise(F.col("metadata")), "updated_at": F.when(there, F.current_timestamp()).otherwise(F.col("updated_at"))})
+    return merged.drop("_id", "_new")
+
+
+def add_validated(chunks: DataFrame, new: DataFrame, dimension: int | None = None, *, vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """(chunks with the valid new rows, the rejected ones with column reason).
+
+    new: ord, text, frame, and optionally importance, tags and a vector. A row
+    is rejected for a null or blank text, an importance out of range, or a
+    vector of another dimension; the others are numbered on densely.
+    """
+    reason = F.when(F.coalesce(F.trim("text"), F.lit("")) == "", F.lit("no text"))
+    if "importance" in new.columns:
+        reason = reason.when(~F.col("importance").between(0.0, 1.0) | F.isnan("importance"), F.lit("importance out of range"))
+    if dimension is not None and vec_col in new.columns:
+        reason = reason.when(F.size(vec_col) != dimension, F.lit("vector of another dimension"))
+    judged = new.withColumn("reason", reason)
+    good = judged.where("reason is null").drop("reason")
+    span = 65_536
+    cells = good.groupBy(F.expr(f"ord div {span}").alias("_cell")).agg(F.count("*").alias("_n"))
+    before = cells.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    placed = good.withColumn("_c", F.expr(f"ord div {span}")).join(before, F.col("_c") == F.col("_cell"))
+    dense = placed.withColumn("ord", F.col("_before") + F.row_number().over(Window.partitionBy("_c").orderBy("ord", "text")) - 1).drop("_c", "_cell", "_before")
+    return add_chunks(chunks, dense), judged.where("reason is not null")
+
+
 def rich_value(value) -> str:
     """A metadata value as JSON for a VARIANT column; times and references are tagged objects."""
     import datetime

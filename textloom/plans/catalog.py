@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ChunkSettings, ContextSettings, Metric, SearchSettings, Strategy
 from ..functions import codec, text, tokens
+from ..functions.embedders import WordHashEmbedder
 from ..functions import vector as V
 from ..operators import chunking, context, conversations, index, lookup, search, stats
 from ..session import shared_folder
+from ..sources.store import Store
+from ..streaming import append
 from . import rag
 
 QUERIES: dict = {}
@@ -113,11 +118,37 @@ def vec_index_stats(spark, sf_dir):
     return search.index_stats(table(spark, sf_dir, "embeddings"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, CAST(sum(label) AS BIGINT) AS labels FROM (SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 3 = 0)")
+@query("SELECT vec_id, CAST(label + CASE WHEN vec_id % 3 = 0 THEN 200 ELSE 0 END AS BIGINT) AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, CAST(label AS BIGINT) FROM embeddings")
 def vec_upsert(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    new = rows.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100)
-    return search.upsert(rows, new).agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"), F.sum(F.col("label").cast("long")).alias("labels"))
+    """Every third vector replaced twice, the later one counts; as many new ones added."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("long")).withColumn("ord", F.lit(0))
+    third = rows.where("vec_id % 3 = 0")
+    new = third.withColumns({"label": F.col("label") + 100, "ord": F.lit(1)}).union(third.withColumns({"label": F.col("label") + 200, "ord": F.lit(2)}))
+    more = rows.withColumn("vec_id", F.col("vec_id") + 1_000_000)
+    return search.upsert(rows, new.union(more), order_col="ord").select("vec_id", "label")
+
+
+@query("SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings WHERE vec_id = 7")
+def vec_by_id(spark, sf_dir):
+    found = search.vector_by_id(table(spark, sf_dir, "embeddings"), 7)
+    return found.select("id", F.round(F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("SELECT count(*) AS size, CAST(max(len(embedding)) AS BIGINT) AS dimension, 'cosine' AS distance_metric, CAST((SELECT count(*) FROM documents) AS BIGINT) AS metadata_count, false AS has_hnsw, false AS hnsw_built, CAST(0 AS BIGINT) AS hnsw_points FROM embeddings")
+def vec_settings_stats(spark, sf_dir):
+    return search.settings_stats(table(spark, sf_dir, "embeddings"), metadata=table(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT id, distance, d.text, d.source FROM ({_topk_sql(_COS)}) LEFT JOIN documents d ON doc_id = id")
+def search_records(spark, sf_dir):
+    found = search.top_k(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10, digits=DIGITS)
+    return search.with_records(found, table(spark, sf_dir, "documents").select("doc_id", "text", "source"), id_col="doc_id")
+
+
+@query("SELECT DISTINCT text FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM documents WHERE lang = 'en')")
+def cache_missing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return search.missing(docs, docs.where("lang = 'en'").select("text").distinct())
 
 
 _SPACE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -272,25 +303,25 @@ def frames_distinct(spark, sf_dir):
     return lookup.frames_of(chunk_view(spark, sf_dir)).select(F.col("frame").cast("long").alias("frame"))
 
 
-@query(f"SELECT target, id, frame FROM {_CHUNKS} c JOIN (SELECT id AS target FROM {_CHUNKS} WHERE id IN (0, 5, 50)) t ON c.id BETWEEN greatest(0, target - 2) AND target + 2")
+@query(f"SELECT target, id, frame FROM {_CHUNKS} c JOIN (SELECT id AS target FROM {_CHUNKS}) t ON c.id BETWEEN greatest(0, target - 2) AND target + 2")
 def ctx_id_window(spark, sf_dir):
-    targets = spark.createDataFrame([(0,), (5,), (50,), (10**9,)], "target bigint")
+    targets = chunk_view(spark, sf_dir).select(F.col("id").alias("target")).union(spark.createDataFrame([(10**9,)], "target bigint"))
     return context.id_window(chunk_view(spark, sf_dir), targets, 5).select("target", "id", F.col("frame").cast("long").alias("frame"))
 
 
-@query(f"SELECT t.id AS target, c.id, c.frame FROM {_CHUNKS} t JOIN {_CHUNKS} c ON c.frame BETWEEN greatest(0, t.frame - 1) AND t.frame + 1 WHERE t.id IN (0, 6, 50)")
+@query(f"SELECT t.id AS target, c.id, c.frame FROM {_CHUNKS} t JOIN {_CHUNKS} c ON c.frame BETWEEN greatest(0, t.frame - 1) AND t.frame + 1")
 def ctx_frame_window(spark, sf_dir):
-    targets = spark.createDataFrame([(0,), (6,), (50,)], "target bigint")
+    targets = chunk_view(spark, sf_dir).select(F.col("id").alias("target"))
     return context.frame_window(chunk_view(spark, sf_dir), targets, 1).select("target", "id", F.col("frame").cast("long").alias("frame"))
 
 
 @query(f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY id) AS pos, row_number() OVER (PARTITION BY frame ORDER BY id DESC) AS rev FROM {_CHUNKS}),
 picked AS (SELECT t.id AS target, c.id, c.frame, c.frame - t.frame AS side, c.importance FROM c t JOIN c ON c.frame BETWEEN t.frame - 1 AND t.frame + 1
-  WHERE t.id % 100 = 1 AND ((c.frame = t.frame AND c.pos BETWEEN t.pos - 2 AND t.pos + 2) OR (c.frame = t.frame - 1 AND c.rev <= 2) OR (c.frame = t.frame + 1 AND c.pos <= 2)))
+  WHERE ((c.frame = t.frame AND c.pos BETWEEN t.pos - 2 AND t.pos + 2) OR (c.frame = t.frame - 1 AND c.rev <= 2) OR (c.frame = t.frame + 1 AND c.pos <= 2)))
 SELECT target, id, frame FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY side, id) AS n FROM picked WHERE importance >= 0.1) WHERE n <= 6""")
 def ctx_enhanced(spark, sf_dir):
     chunks = chunk_view(spark, sf_dir)
-    targets = chunks.where("id % 100 = 1").select(F.col("id").alias("target"))
+    targets = chunks.select(F.col("id").alias("target"))
     return context.enhanced_window(chunks, targets, ContextSettings(max_total=6, min_importance=0.1)).select("target", "id", F.col("frame").cast("long").alias("frame"))
 
 
@@ -466,16 +497,47 @@ def sanitize_name(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.safe_name(F.substring("text", 1, 60)).alias("name"))
 
 
-@query("SELECT doc_id, true AS same FROM documents")
+@query("SELECT doc_id, text AS decoded, CASE WHEN strlen(text) < 100 THEN text END AS plain_payload FROM documents")
 def codec_roundtrip(spark, sf_dir):
+    """The text read back from each payload; short texts are their own payload."""
     made = table(spark, sf_dir, "documents").select("doc_id", "text", codec.encode(F.col("text")).alias("p"))
-    return made.select("doc_id", (codec.decode("p.payload") == F.col("text")).alias("same"))
+    return made.select("doc_id", codec.decode("p.payload").alias("decoded"), F.when(F.octet_length("text") < 100, F.col("p.payload")).alias("plain_payload"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
-def stream_append_counts(spark, sf_dir):
-    from ..streaming.append import stream_counts
-
-    work = f"{shared_folder(spark)}/textloom-stream-{spark.sql('SELECT uuid()').first()[0]}"
+def stream_counts(spark, sf_dir):
+    work = f"{shared_folder(spark)}/textloom-stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
-    return stream_counts(spark, f"{sf_dir}/events.parque[t]", schema, f"{work}/out", f"{work}/checkpoint", key="event_type", time_col="ts")
+    return append.stream_counts(spark, f"{sf_dir}/events.parque[t]", schema, f"{work}/out", f"{work}/checkpoint", key="event_type", time_col="ts")
+
+
+@query(_SENTENCE_CTE + "SELECT CAST(row_number() OVER (ORDER BY doc_id, chunk_no) - 1 AS BIGINT) AS id, text, row_number() OVER (ORDER BY doc_id, chunk_no) - 1 AS frame, text AS decoded, 16 AS dimension FROM chunks")
+def stream_append(spark, sf_dir):
+    """All documents appended as a stream to an empty memory: its chunks, each with the text in its frame and a vector."""
+    work = f"{shared_folder(spark)}/textloom-stream-{uuid.uuid4().hex}"
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]").select("doc_id", "text")
+    store = Store(spark, f"{work}/memory")
+    append.append_stream(docs, store, f"{work}/checkpoint", _SENT, embedder=WordHashEmbedder(16)).awaitTermination()
+    frames = store.read("frames").select(F.col("chunk_id"), codec.decode("payload").alias("decoded"))
+    joined = store.read().join(frames, F.col("id") == F.col("chunk_id"))
+    return joined.select("id", "text", F.col("frame").cast("long").alias("frame"), "decoded", F.size("embedding").alias("dimension"))
+
+
+@query(f"SELECT id, text, CAST(importance AS DOUBLE) AS importance, reason FROM (SELECT (SELECT max(doc_id) FROM documents) + row_number() OVER (ORDER BY item_id) AS id, text, 0.5 AS importance, NULL AS reason FROM benchmark WHERE item_id % 3 <> 0 UNION ALL SELECT NULL, text, 1.5, 'importance out of range' FROM benchmark WHERE item_id % 3 = 0)")
+def index_add_validated(spark, sf_dir):
+    """Every third row has an importance out of range and is rejected; the others are numbered on densely."""
+    new = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), "text", F.lit(0).alias("frame"), F.when(F.col("item_id") % 3 == 0, F.lit(1.5)).alias("importance"))
+    chunks = chunk_view(spark, sf_dir)
+    whole, rejected = index.add_validated(chunks, new)
+    added = whole.join(chunks.select("id"), "id", "left_anti").select("id", "text", "importance", F.lit(None).cast("string").alias("reason"))
+    return added.union(rejected.select(F.lit(None).cast("long"), "text", "importance", "reason"))
+
+
+@query("SELECT d.doc_id AS id, coalesce(l.quality, -1) AS quality, d.source, l.doc_id IS NOT NULL AS updated FROM documents d LEFT JOIN labels l USING (doc_id)")
+def index_merge_metadata(spark, sf_dir):
+    """Labels merged into maps that hold a source and a quality of -1."""
+    none = F.lit(None).cast("timestamp")
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.create_map(F.lit("source"), "source", F.lit("quality"), F.lit("-1")).alias("metadata"), none.alias("updated_at"))
+    updates = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.create_map(F.lit("quality"), F.col("quality").cast("string")).alias("metadata"))
+    made = index.merge_metadata(chunks, updates)
+    return made.select("id", F.col("metadata.quality").cast("int").alias("quality"), F.col("metadata.source").alias("source"), F.col("updated_at").isNotNull().alias("updated"))

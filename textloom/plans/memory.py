@@ -6,16 +6,16 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..config import SearchSettings, Settings
 from ..errors import SearchError, StorageError
 from ..functions import codec
-from ..functions.embedders import Embedder, WordHashEmbedder, embed_texts
+from ..functions.embedders import Embedder, WordHashEmbedder
 from ..operators import context, conversations, lookup, search, stats
 from ..operators.chunking import chunk_documents, number_chunks
-from ..schema import CHUNKS
 from ..sources.store import Store
-from ..streaming.append import next_ids
+from ..streaming.append import append_stream, memory_tables, next_ids
 from . import rag
 
 
@@ -47,12 +47,11 @@ class Memory:
         for name, kind in (("source", "string"), ("page", "int")):
             if name not in rows.columns:
                 rows = rows.withColumn(name, F.lit(None).cast(kind))
-        embedded = embed_texts(rows, self.embedder)
-        names = [c.split()[0] for c in CHUNKS.split(", ")]
-        table = embedded.select(*[F.col(n) for n in names])
-        payload = rows.select("frame", F.col("id").alias("chunk_id"), codec.encode(F.col("text"), self.settings.codec).alias("p"))
-        frames = payload.select("frame", "chunk_id", "p.payload", "p.compressed", "p.encoded_size")
-        return self.store.write({"chunks": table, "frames": frames}, append=append)
+        return self.store.write(memory_tables(rows, self.embedder, self.settings.codec), append=append)
+
+    def append_stream(self, stream: DataFrame, checkpoint: str, *, once: bool = True) -> StreamingQuery:
+        """Appends a stream of (doc_id, text), which then is found like anything else."""
+        return append_stream(stream, self.store, checkpoint, self.settings.chunk, once=once, embedder=self.embedder, payloads=self.settings.codec)
 
     def append_texts(self, texts: Iterable[str], source: str = "incremental_update") -> int:
         """Adds texts as they are, one chunk each, numbered on."""
@@ -81,12 +80,12 @@ class Memory:
         return list(self.spark.range(1).select(self.embedder.column(F.lit(text)).alias("v")).first()["v"])
 
     def search(self, text: str, k: int = 5, settings: SearchSettings | None = None) -> DataFrame:
-        """score, id, text, source of the k chunks most alike."""
+        """score and the whole record (but its vector) of the k chunks most alike."""
         chunks = self.chunks()
         if lookup.with_embedding(chunks).isEmpty():
             raise SearchError("no chunk has an embedding")
         best = search.similar(chunks, self.vector(text), settings or self.settings.search, k, id_col="id")
-        return best.join(chunks.select("id", "text", "source", "frame"), "id").orderBy(F.desc("score"), "id")
+        return search.with_records(best, chunks.drop("embedding")).orderBy(F.desc("score"), "id")
 
     def chunk(self, chunk_id: int) -> DataFrame:
         return lookup.chunk_by_id(self.chunks(), chunk_id)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import preview
 
 # The wording of answers and prompts.
+EMPTY = "I couldn't find any relevant information in the knowledge base."
 NOTHING = "I couldn't find any relevant information about that topic in the knowledge base."
 HEAD = "Based on the knowledge base, here's what I found:\n\n"
 LEAST_BYTES = 50
@@ -46,6 +47,8 @@ def prompt(question: str, context_text: str) -> str:
 def answer(results: DataFrame, question: str, model: Callable[[str], str] | None = None) -> str:
     """The answer to a question from at most a few results: the model's, or the results themselves without one."""
     state = gate(results).first()
+    if not state["n"]:
+        return EMPTY
     if not state["relevant"]:
         return NOTHING
     fallback = context_only(results).first()["answer"]

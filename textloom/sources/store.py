@@ -13,7 +13,7 @@ from ..schema import CHUNKS, VERSION
 
 
 class Store:
-    """Writers add files under a new version and swap the manifest last, so readers see whole versions only.
+    """Writers add files under a new version and put its manifest in place last, so readers see whole versions only.
 
     One writer at a time. Paths are those of any file system that Spark knows.
     """
@@ -27,24 +27,32 @@ class Store:
     def _file(self, name: str):
         return self._Path(f"{self.path}/{name}")
 
+    def _versions(self) -> list[int]:
+        """The versions whose manifests are in place, in order."""
+        if not self._fs.exists(self._Path(self.path)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._Path(self.path))]
+        return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json") and n[9:-5].isdigit())
+
     def manifest(self) -> dict:
-        """The current manifest; empty for a store that isn't there yet."""
-        if not self._fs.exists(self._file("manifest.json")):
+        """The latest manifest; empty for a store that isn't there yet."""
+        versions = self._versions()
+        if not versions:
             return {}
-        stream = self._fs.open(self._file("manifest.json"))
+        stream = self._fs.open(self._file(f"manifest-{versions[-1]}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
     def _publish(self, manifest: dict) -> None:
-        new = self._file("manifest.json.new")
+        """Puts the manifest in place under its own version by a rename; older ones stay, so there is always one."""
+        new, place = self._file("manifest.new"), self._file(f"manifest-{manifest['version']}.json")
         stream = self._fs.create(new, True)
         stream.write(bytearray(json.dumps(manifest, indent=1).encode()))
         stream.close()
-        self._fs.delete(self._file("manifest.json"), False)
-        if not self._fs.rename(new, self._file("manifest.json")):
-            raise StorageError("the manifest could not be put in place")
+        if self._fs.exists(place) or not self._fs.rename(new, place):
+            raise StorageError(f"version {manifest['version']} has been published already")
 
     def tables(self) -> list[str]:
         return sorted(self.manifest().get("tables", {}))

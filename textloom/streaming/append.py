@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..config import ChunkSettings
+from ..config import ChunkSettings, CodecSettings
+from ..functions import codec
+from ..functions.embedders import Embedder, WordHashEmbedder, embed_texts
 from ..operators.chunking import chunk_documents, number_chunks
+from ..schema import CHUNKS
 from ..sources.store import Store
 
 
@@ -24,15 +27,28 @@ def to_chunks(docs: DataFrame, store: Store, settings: ChunkSettings, source: st
     first, frame = next_ids(store)
     made = number_chunks(chunk_documents(docs, settings), start=first)
     return made.select(
-        F.col("id").cast("bigint").alias("id"), "text", F.lit(source).alias("source"), F.lit(None).cast("int").alias("page"), "offset", "length", (F.col("id") - first + frame).cast("int").alias("frame"), F.lit(None).cast("array<float>").alias("embedding")
+        F.col("id").cast("bigint").alias("id"), "text", F.lit(source).alias("source"), F.lit(None).cast("int").alias("page"), "offset", "length", (F.col("id") - first + frame).cast("int").alias("frame")
     )
 
 
-def append_stream(stream: DataFrame, store: Store, checkpoint: str, settings: ChunkSettings = ChunkSettings(), *, once: bool = True) -> StreamingQuery:
-    """Appends a stream of (doc_id, text) to the store. A batch that is replayed after a failure is published once."""
+def memory_tables(rows: DataFrame, embedder: Embedder, settings: CodecSettings = CodecSettings()) -> dict[str, DataFrame]:
+    """The chunks with their vectors and the frames with their payloads, of rows as to_chunks() gives them."""
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
+    payload = rows.select("frame", F.col("id").alias("chunk_id"), codec.encode(F.col("text"), settings).alias("p"))
+    return {"chunks": embed_texts(rows, embedder).select(*names), "frames": payload.select("frame", "chunk_id", "p.payload", "p.compressed", "p.encoded_size")}
+
+
+def append_stream(stream: DataFrame, store: Store, checkpoint: str, settings: ChunkSettings = ChunkSettings(), *, once: bool = True, embedder: Embedder | None = None, payloads: CodecSettings = CodecSettings()) -> StreamingQuery:
+    """Appends a stream of (doc_id, text) to the store, as chunks with vectors and frames with payloads, like any others.
+
+    A batch that is replayed after a failure is published once. The embedder
+    must be that of the store's other chunks.
+    """
+    model = embedder or WordHashEmbedder()
 
     def publish(docs: DataFrame, batch: int) -> None:
-        store.write({"chunks": to_chunks(docs, store, settings)}, append=True, batch=f"{checkpoint}#{batch}")
+        rows = to_chunks(docs, store, settings)
+        store.write(memory_tables(rows, model, payloads), append=True, batch=f"{checkpoint}#{batch}")
 
     writer = stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
