@@ -266,6 +266,20 @@ def test_lines_without_their_common_ends_are_as_far_apart(spark):
     assert sum(x["m"] for x in got) < 0.7 * sum(x["n"] for x in got)
 
 
+def test_most_edits_bounds_the_edit_distance(spark):
+    r = random.Random(15)
+    rows = []
+    for k in range(300):
+        a = [r.choice(["a", "bc", "def", "ünï", ""]) for _ in range(r.randint(1, 12))]
+        b = [r.choice(["a", "bcd", "", "é"]) if r.random() < 0.3 else w for w in a] + ["x"] * (k % 5 == 0)
+        rows.append((" ".join(a), " ".join(b), len(a) == len(b)))
+    df = spark.createDataFrame(rows, "a string, b string, same boolean")
+    got = df.select("a", "b", "same", F.levenshtein("a", "b").alias("d"), line_dedup.most_edits(F.col("a"), F.col("b")).alias("most")).collect()
+    assert all((x.most is not None) == x.same for x in got)
+    assert all(x.most >= x.d for x in got if x.same)
+    assert sum(x.most == x.d for x in got if x.same) > 100
+
+
 def test_one_sign_a_word(spark):
     got = spark.createDataFrame([("the cat the dog é",)], "t string").select(line_dedup.one_sign_a_word(F.col("t")).alias("s")).first()["s"]
     assert len(got) == 5
