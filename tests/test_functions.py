@@ -2,13 +2,16 @@
 
 import math
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import compare
 from textloom.config import ChunkSettings, CodecSettings, ErrorCorrection, Metric, Settings, Strategy
 from textloom.errors import CodecError, ConfigError
 from textloom.functions import codec, embedders, text, tokens
 from textloom.functions import vector as V
+from textloom.plans import catalog
 
 
 def value(spark, column):
@@ -20,6 +23,20 @@ def test_human_size(spark, n, want):
     assert value(spark, text.human_size(F.lit(n).cast("bigint"))) == want
 
 
+@pytest.mark.parametrize("n,want", [(2**40, "1024.0 GB"), (5 * 2**40 + 2**28, "5120.2 GB"), (1280, "1.2 KB"), (1792, "1.8 KB"), (2**20 + 2**18, "1.2 MB"), (None, None)])
+def test_human_size_up_to_a_unit_with_ties_to_even(spark, n, want):
+    """As the query's SQL has it: no unit beyond GB, ties to even."""
+    assert value(spark, text.human_size(F.lit(n).cast("bigint"), largest="GB")) == want
+
+
+def test_human_size_matches_its_sql_on_large_ids(spark, tmp_path):
+    rows = [(d, c) for d in (0, 1, 3, 255, 1023, 51_282, 3_000_000) for c in (0, 1, 640, 1152, 1280, 1792, 20_000, 327_680)]
+    spark.createDataFrame(rows, "doc_id bigint, n_chars bigint").write.parquet(str(tmp_path / "made"))
+    merged = pq.read_table(tmp_path / "made")
+    pq.write_table(merged, tmp_path / "documents.parquet")
+    compare(catalog.QUERIES["human_size"](spark, str(tmp_path)), catalog.ORACLES["human_size"], str(tmp_path))
+
+
 @pytest.mark.parametrize("done,total,want", [(0, 100, 0), (50, 100, 50), (100, 100, 100), (0, 0, 0)])
 def test_progress(spark, done, total, want):
     assert value(spark, text.progress(F.lit(done), F.lit(total))) == want

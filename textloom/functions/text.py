@@ -91,11 +91,15 @@ def is_video(path: Column) -> Column:
     return F.coalesce(file_extension(path).isin("mp4", "avi", "mov", "mkv", "webm"), F.lit(False))
 
 
-def human_size(n: Column) -> Column:
-    """Bytes as B, KB, MB, GB or TB in steps of 1024, with one decimal but for bytes."""
-    out = F.format_string("%.1f TB", n / float(1 << 40))
-    for k, unit in ((30, "GB"), (20, "MB"), (10, "KB")):
-        out = F.when(n < (1 << k + 10), F.format_string(f"%.1f {unit}", n / float(1 << k))).otherwise(out)
+def human_size(n: Column, largest: str = "TB") -> Column:
+    """Bytes as B, KB, MB, GB or TB in steps of 1024 up to largest, with one decimal but for bytes; ties round to even, null gives null."""
+    units = ("KB", "MB", "GB", "TB")
+    last = units.index(largest) + 1
+    # format_string would round ties up, by the shortest decimal form of the number.
+    shown = lambda k: F.concat(F.call_function("format_number", n / float(1 << 10 * k), F.lit("0.0")), F.lit(f" {units[k - 1]}"))
+    out = shown(last)
+    for k in range(last - 1, 0, -1):
+        out = F.when(n < (1 << 10 * (k + 1)), shown(k)).otherwise(out)
     return F.when(n < 1024, F.format_string("%d B", n)).otherwise(out)
 
 
