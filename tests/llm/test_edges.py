@@ -346,6 +346,48 @@ def test_a_changed_letter_leaves_lines_alike(spark):
     assert len(gone) >= 0.97 * len(alike)
 
 
+def scattered(text, share, seed):
+    """text with a share of its letters changed, wherever they are."""
+    r, signs = random.Random(seed), list(text)
+    for at in r.sample([k for k, x in enumerate(signs) if x != " "], int(share * len(signs))):
+        signs[at] = r.choice("qxzj")
+    return "".join(signs)
+
+
+def test_scattered_edits_leave_lines_alike(spark):
+    """Letters changed anywhere in 5 of 100 places, and one in each second word."""
+    rows = []
+    for k in range(200):
+        a = prose(70_000 + k, 40)
+        each = " ".join("z" + w[1:] if j % 2 else w for j, w in enumerate(a.split()))
+        rows += [(4 * k, a), (4 * k + 1, scattered(a, 0.05, k))]
+        rows += [(4 * k + 2, a[::-1]), (4 * k + 3, " ".join(w[::-1] for w in reversed(each.split())))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    pairs = df.where("doc_id % 2 = 0").join(df.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
+    alike = {x.doc_id + 1 for x in pairs.where(F.levenshtein("text", "other") <= 0.1 * F.greatest(F.length("text"), F.length("other"))).collect()}
+    gone = {d for d, x in by_id(line_dedup.line_report(df)).items() if x.n_removed}
+    assert gone <= alike
+    for kind in (1, 3):
+        of = {d for d in alike if d % 4 == kind}
+        assert len(of) > 100
+        assert len(gone & of) >= 0.95 * len(of)
+
+
+def test_pairs_across_components_are_all_pairs_of_a_key(spark, monkeypatch):
+    """Also where a key's lines are dealt into several cells."""
+    monkeypatch.setattr(line_dedup, "CELL", 4)
+    r = random.Random(33)
+    lines_of = [(key, line, r.randint(80, 100), 30) for key in (1, 2) for line in r.sample(range(1000), 30)]
+    at = {line: line - line % 3 for _, line, _, _ in lines_of}
+    chars = {line: n for _, line, n, _ in lines_of}
+    shared = spark.createDataFrame([(k, x, chars[x], n) for k, x, _, n in lines_of], "key bigint, line bigint, chars int, size bigint")
+    joined = spark.createDataFrame(sorted(at.items()), "node bigint, component bigint")
+    got = {(p.a, p.b, p.x, p.y) for p in line_dedup._pairs_across(shared, joined).collect()}
+    held = [{x for k, x, _, _ in lines_of if k == key} for key in (1, 2)]
+    fits = lambda a, b: 10 * abs(chars[a] - chars[b]) <= max(chars[a], chars[b])
+    assert got == {(a, b, at[a], at[b]) for h in held for a in h for b in h if a < b and at[a] != at[b] and fits(a, b)}
+
+
 def test_long_lines_of_repeated_rows_are_counted(spark):
     line = " ".join(f"word{k}" for k in range(200))
     rows = [(1, line), (1, line), (1, line + "\nand more of it"), (None, line), (None, line), (2, line + " more")]
