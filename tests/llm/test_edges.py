@@ -373,6 +373,23 @@ def test_scattered_edits_leave_lines_alike(spark):
         assert len(gone & of) >= 0.95 * len(of)
 
 
+def test_no_link_of_lines_that_share_a_key_is_lost(spark):
+    """Lines that begin alike, most of them apart: each with its near copy, however far from the others."""
+    start, rows = prose(80_000, 9), []
+    for k in range(60):
+        a = f"{start} {prose(80_001 + k, 30)}"
+        rows += [(2 * k, a), (2 * k + 1, a[: len(start)] + scattered(a[len(start) :], 0.1, k))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    table = line_dedup.line_table(line_dedup._source(df, "doc_id", "text"))
+    keys = {x.doc_id: set(x["keys"]) for x in table.select("doc_id", line_dedup.line_keys().alias("keys")).collect()}
+    texts = dict(rows)
+    pairs = spark.createDataFrame([(2 * k + 1, texts[2 * k], texts[2 * k + 1]) for k in range(60)], "doc_id bigint, a string, b string")
+    assert pairs.where(F.levenshtein("a", "b") <= 0.1 * F.greatest(F.length("a"), F.length("b"))).count() == 60
+    meet = {d for d in keys if d % 2 and keys[d] & keys[d - 1]}
+    assert len(meet) > 20  # 34 of the 60 pairs: the others share no key and are lost, as the README says
+    assert {d for d, x in by_id(line_dedup.line_report(df)).items() if x.n_removed} == meet
+
+
 def test_pairs_across_components_are_all_pairs_of_a_key(spark, monkeypatch):
     """Also where a key's lines are dealt into several cells."""
     monkeypatch.setattr(line_dedup, "CELL", 4)
