@@ -405,6 +405,54 @@ def test_pairs_across_components_are_all_pairs_of_a_key(spark, monkeypatch):
     assert got == {(a, b, at[a], at[b]) for h in held for a in h for b in h if a < b and at[a] != at[b] and fits(a, b)}
 
 
+def test_lines_that_share_a_passage_only_make_no_pairs(spark):
+    """120 lines of their own words before or behind one passage, and a near copy of each tenth: the near copies are found, and few other pairs are held against each other."""
+    passage, rows = prose(90_000, 20), []
+    for k in range(120):
+        own = prose(90_001 + k, 40)
+        a = f"{own} {passage}" if k % 2 else f"{passage} {own}"
+        rows.append((2 * k, a))
+        if k % 10 == 0:
+            rows.append((2 * k + 1, scattered(a, 0.06, k)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made = {}
+
+    class Counted(Scratch):
+        def cut(self, df, tag):
+            made[tag] = super().cut(df, tag)
+            return made[tag]
+
+    with Counted(spark) as scratch:
+        _, removed = line_dedup.duplicate_lines(df, scratch)
+        assert {x.doc_id for x in removed.collect()} == {2 * k + 1 for k in range(0, 120, 10)}
+        assert made["pairs"].count() < 200  # thousands share a key and have lengths that fit
+
+
+def test_ends_allow_all_lines_that_are_alike(spark):
+    """Edits anywhere, at one end, moved words: no pair that is alike is turned away, most pairs apart are."""
+    r, pairs = random.Random(34), []
+    for k in range(1500):
+        n = r.choice([45, 60, 101, 180, 400])
+        a = "".join(r.choices("abcd é", k=n))
+        b, at = list(a), r.choice([0, n // 3, n])
+        for _ in range(r.randint(0, n // 9)):
+            p = min(len(b) - 1, max(0, r.randrange(len(b)) if at == n // 3 else abs(at - r.randint(1, 20))))
+            b[p : p + r.randint(0, 1)] = r.choice(["", "", "x", "yz"])
+        pairs.append((a, "".join(b), k % 3 == 0))
+    pairs += [(a[20:] + a[:20], a, True) for a, _, _ in pairs[:300]] + [(prose(95_000 + k, 60), prose(96_000 + k, 60), False) for k in range(200)]
+    df = spark.createDataFrame([(k, *((b, a) if turn else (a, b)), k >= 1800) for k, (a, b, turn) in enumerate(pairs)], "k bigint, a string, b string, apart boolean")
+    line = lambda c: line_dedup.with_ends(df.select(F.col("k").alias("line"), F.length(c).alias("chars")), df.select(F.col("k").alias("line"), F.col(c).alias("text")))
+    allowed = line("a").alias("x").join(line("b").alias("y"), F.col("x.line") == F.col("y.line")).where(line_dedup.ends_allow("x", "y")).select(F.col("x.line").alias("k"))
+    allowed = {x.k for x in allowed.collect()}
+    n = F.greatest(F.length("a"), F.length("b"))
+    alike = {x.k for x in df.where(F.levenshtein("a", "b") <= F.floor(0.1 * n + 1e-9)).select("k").collect()}
+    assert len(alike) > 400
+    assert alike <= allowed
+    fitting = {x.k for x in df.where("apart").where(F.abs(F.length("a") - F.length("b")) <= 0.1 * n).collect()}
+    assert len(fitting) > 50
+    assert len(fitting & allowed) <= 0.1 * len(fitting)
+
+
 def test_long_lines_of_repeated_rows_are_counted(spark):
     line = " ".join(f"word{k}" for k in range(200))
     rows = [(1, line), (1, line), (1, line + "\nand more of it"), (None, line), (None, line), (2, line + " more")]
